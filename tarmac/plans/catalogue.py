@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tarmac.plans import traffic  # noqa: F401
+from tarmac.plans import anomaly, traffic  # noqa: F401
 from tarmac.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
