@@ -70,16 +70,17 @@ def wrong_way(obs: DataFrame, min_move: float = 50.0, min_others: int = 3, min_n
     dx, dy = F.col("cx") - F.col("i.cx"), F.col("cy") - F.col("i.cy")
     dist = F.sqrt(dx * dx + dy * dy)
     u = d.where(dist >= min_move).select(
-        "camera_id", "frame_idx", "track_id", (dx / dist).alias("ux"), (dy / dist).alias("uy"))
+        "camera_id", "frame_idx", "track_id", F.try_divide(dx, dist).alias("ux"),
+        F.try_divide(dy, dist).alias("uy"))
     s = u.groupBy("camera_id", "frame_idx").agg(
         F.sum("ux").alias("sx"), F.sum("uy").alias("sy"), F.count("*").alias("n"))
     o = u.join(s, ["camera_id", "frame_idx"]).where(F.col("n") - 1 >= min_others)
-    o = o.withColumn("ax", (F.col("sx") - F.col("ux")) / (F.col("n") - 1)).withColumn(
-        "ay", (F.col("sy") - F.col("uy")) / (F.col("n") - 1))
+    o = o.withColumn("ax", F.try_divide(F.col("sx") - F.col("ux"), F.col("n") - 1)).withColumn(
+        "ay", F.try_divide(F.col("sy") - F.col("uy"), F.col("n") - 1))
     norm = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay"))
     o = o.where(norm >= min_norm)
-    cosine = (F.col("ux") * F.col("ax") + F.col("uy") * F.col("ay")) / norm
-    return o.withColumn("cosine", cosine).where(F.col("cosine") < below)
+    cosine = (F.col("ux") * F.col("ax") + F.col("uy") * F.col("ay"))
+    return o.withColumn("cosine", F.try_divide(cosine, norm)).where(F.col("cosine") < below)
 
 
 def frame_score(frames: DataFrame) -> DataFrame:

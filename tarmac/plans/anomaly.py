@@ -344,7 +344,7 @@ def _sql_edges(pts):
 
 @query("roi_filter", f"""
 WITH {S.SQL_OBS}, r AS (SELECT *, ({_sql_edges(ROI)}) % 2 = 1 AS inside FROM obs)
-SELECT camera_id, frame_idx, track_id, round(cx / 1920, 6) AS nx, round(cy / 1080, 6) AS ny,
+SELECT camera_id, frame_idx, track_id, round(cx / 1920, 9) AS nx, round(cy / 1080, 9) AS ny,
        CASE WHEN cls = 'person' THEN 'pedestrian' ELSE 'vehicle' END AS kind
 FROM r WHERE cls <> 'person' OR (k / 100.0 >= 0.25 AND inside)""")
 def roi_filter(spark, sf):
@@ -353,7 +353,8 @@ def roi_filter(spark, sf):
     ped = F.col("cls") == "person"
     on_road = geo.in_polygon("cx", "cy", points(ROI))
     kept = o.where(~ped | ((F.col("conf") >= 0.25) & on_road))
-    return kept.select(*ID, r6(F.col("cx") / 1920, "nx"), r6(F.col("cy") / 1080, "ny"),
+    return kept.select(*ID, F.round(F.col("cx") / 1920, 9).alias("nx"),
+                       F.round(F.col("cy") / 1080, 9).alias("ny"),
                        F.when(ped, "pedestrian").otherwise("vehicle").alias("kind"))
 
 
