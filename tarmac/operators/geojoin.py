@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import EARTH_RADIUS_KM, haversine_km
-from tarmac.session import broadcast_if_small
+from tarmac.session import broadcast_if_small, stage
 
 _BASE, _STEP, _TOP = 0.05, 4, 6
 _ALL = 99
@@ -65,9 +65,11 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id
         spread.withColumn("_y", F.explode(F.transform(off, lambda o: cy + o)))
         .withColumn("_x", F.explode(F.transform(off, lambda o: cx + o)))
     )
+    spread = stage(spread)
     counts = spread.where(F.col("_lv") <= _TOP - 2).groupBy(*by, "_lv", "_y", "_x").agg(
         F.count("*").alias("_n")).where(F.col("_n") >= k)
-    p = points.where("lat is not null and lon is not null").select("lat", "lon", *by).distinct()
+    p = stage(
+        points.where("lat is not null and lon is not null").select("lat", "lon", *by).distinct())
     py, px = _cell(F.col("_lv"), F.col("lat"), F.col("lon"))
     probe = (
         p.withColumn("_lv", F.explode(F.slice(levels, 1, _TOP - 1)))

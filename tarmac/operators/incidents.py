@@ -13,7 +13,7 @@ from tarmac.operators import folds
 from tarmac.operators import sequence as seq
 from tarmac.operators.geojoin import nearest, radius_join
 from tarmac.operators.textjoin import contains_join
-from tarmac.session import cut_lineage, is_small
+from tarmac.session import cut_lineage, is_small, stage
 
 # fixed values: radii, holds and retention limits
 MATCH_KM, VERIFY_KM, GROUP_KM = 5.0, 10.0, 5.0
@@ -302,6 +302,7 @@ def match_markers(cameras: DataFrame, markers: DataFrame, top: int = 5) -> DataF
     spot = m.select("marker_id", "site_lat", "site_lon")
     names = contains_join(m.select("marker_id", "mn"), "mn", c.select("cn"), "cn")
     routes = contains_join(m.select("marker_id", "mr"), "mr", c.select("cr"), "cr")
+    names, routes = stage(names.select("marker_id", "cn")), stage(routes.select("marker_id", "cr"))
     by_name = names.select("marker_id", "cn").join(spot, "marker_id")
     by_route = routes.select("marker_id", "cr").join(spot, "marker_id")
     both = by_name.join(routes.select("marker_id", "cr"), "marker_id")

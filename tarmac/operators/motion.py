@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators import sequence as seq
+from tarmac.session import stage
 
 METRES_PER_PIXEL = 0.05
 STOP_KMH = 5.0
@@ -193,7 +194,7 @@ def surroundings(m: DataFrame, radius: float = NEIGHBOUR_RADIUS_PX,
 def features(obs: DataFrame, dt: float = 1.0, expected: float | None = None,
              size: int = seq.BLOCK) -> DataFrame:
     """All fifteen features of every observation."""
-    m = motion(obs, dt, size)
+    m = stage(motion(obs, dt, size))
     ttc = pair_ttc(m)
     per_track = (
         ttc.select(*FRAME, F.explode(F.array("track_a", "track_b")).alias("track_id"), "ttc")

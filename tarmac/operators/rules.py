@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators import motion
 from tarmac.operators import sequence as seq
+from tarmac.session import stage
 from tarmac.sources.rules import RULES, SEVERITY
 
 COMPARE = {"<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt,
@@ -170,6 +171,7 @@ def cluster_violations(feats: DataFrame, rule: dict, pos: int, size: int = seq.B
 
 def violations(feats: DataFrame, rules: list[dict] = RULES, size: int = seq.BLOCK) -> DataFrame:
     """Every violation of every rule."""
+    feats = stage(feats)
     out = track_violations(feats, rules, size)
     for pos, r in enumerate(rules):
         if r.get("handler") == "approach_stopped_vehicle":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def is_small(df: DataFrame, limit: int) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """Broadcast only after counting; otherwise leave the join to shuffle."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write df once as parquet in the shared folder and read it back.
+
+    For results with several consumers: they are computed once, the plan stays small, readers keep
+    column pruning and size statistics, and a lost executor costs a re-read instead of a recompute.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
