@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tarmac.plans import anomaly, clips, events, places, traffic  # noqa: F401
+from tarmac.plans import anomaly, clips, events, places, risk, search, traffic  # noqa: F401
 from tarmac.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
