@@ -31,12 +31,16 @@ def with_json(df: DataFrame, text: str) -> DataFrame:
     return d.withColumn("doc", F.try_parse_json("json"))
 
 
+def _path(path: str) -> str:
+    return f"${path}" if path.startswith("[") else f"$.{path}"
+
+
 def get(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("doc", f"$.{path}", kind)
+    return F.try_variant_get("doc", _path(path), kind)
 
 
 def kind_of(path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get("doc", f"$.{path}", "variant"))
+    return F.schema_of_variant(F.try_variant_get("doc", _path(path), "variant"))
 
 
 def text_of(path: str) -> Column:
@@ -54,7 +58,7 @@ def is_list(path: str) -> Column:
 
 def list_of(path: str) -> Column:
     """JSON text of a list, [] for anything else."""
-    return F.when(is_list(path), F.to_json(F.try_variant_get("doc", f"$.{path}", "variant"))).otherwise("[]")
+    return F.when(is_list(path), F.to_json(F.try_variant_get("doc", _path(path), "variant"))).otherwise("[]")
 
 
 def truth(path: str, default: Column, words: bool = True) -> Column:
@@ -68,7 +72,7 @@ def truth(path: str, default: Column, words: bool = True) -> Column:
 
 def share(path: str, missing: float, broken: float) -> Column:
     """Number clamped to 0..1; separate defaults for absent and unreadable."""
-    absent = F.try_variant_get("doc", f"$.{path}", "variant").isNull()
+    absent = F.try_variant_get("doc", _path(path), "variant").isNull()
     v = get(path).try_cast("double")
     ok = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     return F.when(absent, missing).when(v.isNull(), broken).otherwise(ok)

@@ -59,7 +59,7 @@ def response_normalise(spark, sf):
     a = normalise.accident(r, "text").select(
         "event_id", "accident_detected", "confidence", "accident_type", "severity", "involved_vehicles",
         "parse_error", "text", "vision")
-    c = normalise.vehicle_class(a.drop("confidence").withColumn("conf", F.col("confidence")), "text", "vision") \
+    c = normalise.vehicle_class(a.withColumnRenamed("confidence", "conf"), "text", "vision") \
         .drop("confidence", "reasoning").withColumnRenamed("conf", "confidence")
     s = normalise.scene(c, "text").drop("scene_description")
     keep = [x for x in s.columns if x != "text"]
