@@ -77,10 +77,20 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id
     )
     found = (probe.join(broadcast_if_small(counts), [*by, "_lv", "_y", "_x"])
              .groupBy("lat", "lon", *by).agg(F.min("_lv").alias("_lv")))
+    found = stage(found)
+    by_point = Window.partitionBy("lat", "lon", *by).orderBy("distance_km")
+    fy, fx = _cell(F.col("_lv"), F.col("lat"), F.col("lon"))
+    km = haversine_km("lat", "lon", "site_lat", "site_lon")
+    cells = broadcast_if_small(spread)
+    bound = (
+        found.withColumn("_y", fy).withColumn("_x", fx).join(cells, [*by, "_lv", "_y", "_x"])
+        .select("lat", "lon", *by, km.alias("distance_km"))
+        .withColumn("_r", F.row_number().over(by_point)).where(F.col("_r") <= k)
+        .groupBy("lat", "lon", *by).agg(F.max("distance_km").alias("_bound")))
     use = F.when(F.abs("lat") <= 44, F.col("_lv") + 1).otherwise(F.col("_lv") + 2)
     side = F.lit(_BASE) * F.pow(F.lit(float(_STEP)), use)
     edge = (F.abs("lat") + 2 * side > 79) | (F.abs("lon") + 2 * side > 180)
-    q = p.join(found, ["lat", "lon", *by], "left").withColumn(
+    q = p.join(found, ["lat", "lon", *by], "left").join(bound, ["lat", "lon", *by], "left").withColumn(
         "_lv", F.when(F.col("_lv").isNull() | edge, F.lit(_ALL)).otherwise(use))
     qy, qx = _cell(F.col("_lv"), F.col("lat"), F.col("lon"))
     far = F.col("_lv") == _ALL
@@ -89,7 +99,10 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id
     every = s.withColumn("_lv", F.lit(_ALL)).withColumn("_y", F.lit(0).cast("long")).withColumn(
         "_x", F.lit(0).cast("long"))
     cand = q.join(broadcast_if_small(spread.unionByName(every)), [*by, "_lv", "_y", "_x"])
-    cand = cand.withColumn("distance_km", haversine_km("lat", "lon", "site_lat", "site_lon"))
+    # nothing beyond the k-th site already seen can rank
+    north = F.abs(F.col("lat") - F.col("site_lat")) * 111.19 <= F.col("_bound") + 0.01
+    cand = cand.where(F.col("_bound").isNull() | (north & (km <= F.col("_bound"))))
+    cand = cand.withColumn("distance_km", km).drop("_bound")
     w = Window.partitionBy("lat", "lon", *by).orderBy("distance_km", site_id)
     return (cand.drop("_lv", "_y", "_x").withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))

@@ -15,20 +15,23 @@ SECTIONS = ["시간", "위치", "사고 특성", "피해차량", "인명피해",
 WEEKDAYS = ["월", "화", "수", "목", "금", "토", "일"]
 
 
-def json_in(text) -> Column:
-    """The JSON object of a response: fenced block, whole text, or outermost braces; else null."""
-    t = F.col(text) if isinstance(text, str) else text
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
-    whole = F.trim(F.when(fenced != "", fenced).otherwise(t))
-    braces = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    return (F.when(F.try_parse_json(whole).isNotNull(), whole)
-            .when(F.try_parse_json(braces).isNotNull(), braces))
+def with_json(df: DataFrame, text: str) -> DataFrame:
+    """Adds `json` and `doc` (variant): the object in a response's fenced block, whole text or
+    outermost braces, else null. Does nothing when they are there already."""
+    if "doc" in df.columns:
+        return df
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
+    d = df.withColumn("_fenced", fenced)
+    d = d.withColumn("_whole", F.trim(F.when(F.col("_fenced") != "", F.col("_fenced")).otherwise(F.col(text))))
+    d = d.withColumn("_v", F.try_parse_json("_whole"))
+    d = d.withColumn("_braces", F.when(F.col("_v").isNull(), F.regexp_extract(text, r"(?s)\{.*\}", 0)))
+    d = d.withColumn("doc", F.coalesce("_v", F.try_parse_json("_braces")))
+    found = F.when(F.col("_v").isNotNull(), F.col("_whole")).when(F.col("doc").isNotNull(), F.col("_braces"))
+    return d.withColumn("json", found).drop("_fenced", "_whole", "_v", "_braces")
 
 
-def with_json(df: DataFrame, text: str) -> DataFrame:
-    """Adds `json` (object text or null) and `doc` (variant)."""
-    d = df.withColumn("json", json_in(text))
-    return d.withColumn("doc", F.try_parse_json("json"))
+def _added(df: DataFrame) -> list[str]:
+    return [] if "doc" in df.columns else ["json", "doc"]
 
 
 def _path(path: str) -> str:
@@ -90,7 +93,7 @@ def scene(df: DataFrame, text: str) -> DataFrame:
         "scene_description": F.when(bad, F.col(text)).otherwise(text_of("scene_description")),
         "traffic_state": one_of("traffic_state", STATES, "free_flow"),
         "anomalies": list_of("anomalies"),
-        "risk_level": one_of("risk_level", RISKS, "low")}).drop("json", "doc")
+        "risk_level": one_of("risk_level", RISKS, "low")}).drop(*_added(df))
 
 
 def accident(df: DataFrame, text: str) -> DataFrame:
@@ -105,7 +108,7 @@ def accident(df: DataFrame, text: str) -> DataFrame:
         "involved_vehicles": F.when(seen, list_of("involved_vehicles")).otherwise("[]"),
         "timestamp_estimated": text_of("timestamp_estimated"),
         "reasoning": F.when(bad, F.col(text)).otherwise(text_of("reasoning")),
-        "parse_error": bad}).drop("json", "doc")
+        "parse_error": bad}).drop(*_added(df))
 
 
 def vehicle_class(df: DataFrame, text: str, vision: str) -> DataFrame:
@@ -120,7 +123,7 @@ def vehicle_class(df: DataFrame, text: str, vision: str) -> DataFrame:
         "confidence": F.when(bad, 0.5).otherwise(share("confidence", 0.5, 0.5)),
         "unit_count": whole_in("unit_count", 1, 2, 1), "axle_count": whole_in("axle_count", 2, 6, 2),
         "vision_agreed": F.when(bad, True).otherwise(truth("vision_agreed", same)),
-        "reasoning": F.when(bad, F.col(text)).otherwise(text_of("reasoning"))}).drop("json", "doc")
+        "reasoning": F.when(bad, F.col(text)).otherwise(text_of("reasoning"))}).drop(*_added(df))
 
 
 def outbreak(df: DataFrame, text: str) -> DataFrame:
@@ -137,7 +140,7 @@ def outbreak(df: DataFrame, text: str) -> DataFrame:
         "cargo_spill": truth("cargo_spill", F.lit(False), False), "cause_estimated": get("cause_estimated"),
         "severity": get("severity"),
         "description": F.when(bad, F.col(text)).otherwise(get("description")),
-        "confidence": F.when(bad, 0.3).otherwise(share("confidence", 0.5, 0.5))}).drop("json", "doc")
+        "confidence": F.when(bad, 0.3).otherwise(share("confidence", 0.5, 0.5))}).drop(*_added(df))
 
 
 def accident_row(outbreaks: DataFrame) -> DataFrame:
@@ -176,7 +179,7 @@ def report(df: DataFrame, text: str) -> DataFrame:
         "narrative": F.when(bad, F.col(text)).otherwise(
             F.coalesce(get("['추론']['narrative']"), F.lit(""))),
         "confidence": F.when(bad, 0.3).otherwise(share("['추론']['confidence']", 0.5, 0.5)),
-        "needs_review": bad}).drop("json", "doc")
+        "needs_review": bad}).drop(*_added(df))
 
 
 def vehicles_text(vehicles: Column) -> Column:

@@ -55,14 +55,12 @@ SELECT event_id, CASE i WHEN 0 THEN true WHEN 1 THEN k % 2 = 0 ELSE false END AS
   'free_flow' AS traffic_state, CASE i WHEN 0 THEN 'high' ELSE 'low' END AS risk_level,
   CASE i WHEN 1 THEN '["a"]' ELSE '[]' END AS anomalies, i = 0 AS fire, CASE i WHEN 0 THEN 2 ELSE 0 END AS lanes FROM m""")
 def response_normalise(spark, sf):
-    r = responses(spark, sf)
-    a = normalise.accident(r, "text").select(
-        "event_id", "accident_detected", "confidence", "accident_type", "severity", "involved_vehicles",
-        "parse_error", "text", "vision")
+    r = normalise.with_json(responses(spark, sf), "text")
+    a = normalise.accident(r, "text").drop("k", "timestamp_estimated", "reasoning")
     c = normalise.vehicle_class(a.withColumnRenamed("confidence", "conf"), "text", "vision") \
         .drop("confidence", "reasoning").withColumnRenamed("conf", "confidence")
     s = normalise.scene(c, "text").drop("scene_description")
-    keep = [x for x in s.columns if x != "text"]
+    keep = [x for x in s.columns if x not in ("text", "json", "doc")]
     o = normalise.outbreak(s.withColumn("conf", F.col("confidence")).withColumn("sev", F.col("severity")), "text")
     return o.select(*[x for x in keep if x not in ("confidence", "severity", "vision")],
                     F.col("conf").alias("confidence"), F.col("sev").alias("severity"), "fire",
