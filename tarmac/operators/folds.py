@@ -184,11 +184,13 @@ def chained_fold(
         def one(key, left, rows):
             st = json.loads(left["_state"].iloc[0]) if len(left) else {}
             st, out = step(st, rows.sort_values("_g", kind="stable"))
-            out = out.assign(_state=None)
+            names = [f.name for f in boxed.fields]
+            out = out.astype(object).assign(_state=None)
             for k, v in zip(keys, key):
                 out[k] = v
-            tail = pd.DataFrame([{**dict(zip(keys, key)), "_state": json.dumps(st)}])
-            return pd.concat([out, tail], ignore_index=True)[[f.name for f in boxed.fields]]
+            tail = {**dict.fromkeys(names), **dict(zip(keys, key)), "_state": json.dumps(st)}
+            tail = pd.DataFrame([tail], columns=names, dtype=object)
+            return pd.concat([out[names], tail], ignore_index=True) if len(out) else tail
 
         now = cut_up.where(F.col("_round") == r)
         done = cut_lineage(

@@ -130,7 +130,7 @@ def test_alarm_limit_equals_brute_force(spark, size):
 def test_trigger_fold_in_blocks(spark, small):
     m = motion.motion(S.obs(spark, small))
     f = triggers.frames(m, motion.pair_ttc(m, lane_filter=False)).cache()
-    assert rows(triggers.detect(f, 5).drop("involved_tracks")) == rows(triggers.detect(f).drop("involved_tracks"))
+    assert rows(triggers.detect(f, 9).drop("involved_tracks")) == rows(triggers.detect(f).drop("involved_tracks"))
 
 
 def test_grouping_in_blocks(spark, small):
@@ -139,7 +139,7 @@ def test_grouping_in_blocks(spark, small):
     t = S.triggers(spark, small).select("event_id", "t", (F.col("event_id") % n).alias("camera_id"), F.when(
         F.col("k") % 4 == 0, F.expr("event_id div 50")).alias("incident_id"))
     whole = rows(incidents.group_triggers(t, c))
-    assert whole == rows(incidents.group_triggers(t, c, size=100))
+    assert whole == rows(incidents.group_triggers(t, c, size=400))
     assert len(whole) == t.count()
 
 
