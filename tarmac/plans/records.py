@@ -12,7 +12,7 @@ from tarmac.operators import recordings as REC
 from tarmac.plans.anomaly import SQL_FEATURES
 from tarmac.plans.registry import query
 from tarmac.plans.traffic import r6
-from tarmac.session import shared_dir, stage
+from tarmac.session import shared_dir, spread, stage
 from tarmac.sinks import tables
 from tarmac.sources import samples as S
 
@@ -55,7 +55,7 @@ SELECT event_id, CASE i WHEN 0 THEN true WHEN 1 THEN k % 2 = 0 ELSE false END AS
   'free_flow' AS traffic_state, CASE i WHEN 0 THEN 'high' ELSE 'low' END AS risk_level,
   CASE i WHEN 1 THEN '["a"]' ELSE '[]' END AS anomalies, i = 0 AS fire, CASE i WHEN 0 THEN 2 ELSE 0 END AS lanes FROM m""")
 def response_normalise(spark, sf):
-    r = normalise.with_json(responses(spark, sf), "text")
+    r = normalise.with_json(spread(responses(spark, sf), "event_id"), "text")
     a = normalise.accident(r, "text").drop("k", "timestamp_estimated", "reasoning")
     c = normalise.vehicle_class(a.withColumnRenamed("confidence", "conf"), "text", "vision") \
         .drop("confidence", "reasoning").withColumnRenamed("conf", "confidence")

@@ -83,3 +83,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Ahead of costly per-row work: make sure there are as many partitions as cores.
+
+    A table read from many splits is returned as it is; a table in one small file is not left to
+    a single core.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
