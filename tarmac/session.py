@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,12 +33,25 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tarmac
     )
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarmac_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "tarmac"), "zip", root, "tarmac"))
+    sc._tarmac_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on (time zone) on a session we were handed."""
+    """Pin the settings results depend on and ship the package, on a session we were handed."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
@@ -86,10 +100,10 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Ahead of costly per-row work: make sure there are as many partitions as cores.
+    """Ahead of costly per-row work: do not leave a table in few or uneven splits to a few cores.
 
-    A table read from many splits is returned as it is; a table in one small file is not left to
-    a single core.
+    A small file may list several splits while one of them holds its only row group, so anything
+    under four splits per core is re-spread; a table read from many splits is returned as it is.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
+    return df if df.rdd.getNumPartitions() >= 4 * n else df.repartition(2 * n, *keys)
