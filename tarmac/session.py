@@ -19,6 +19,9 @@ DEFAULTS = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tarmac") -> SparkSession:
     """A single-machine session for tests and the bench; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -63,8 +66,10 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = _LOCAL_DIRS[app]
     return path
 
 
