@@ -170,6 +170,20 @@ def links(fps: DataFrame, bits: int = BITS, hot: int = 4096) -> DataFrame:
     )
 
 
+def _members(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> DataFrame:
+    """_id, _hash (of the text), _fp and _rep, the (id, hash) that stands for the class, of each document."""
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    own = stage(fingerprints(own, "_text", width))
+    me = F.struct(F.coalesce("_id", F.lit(_LAST)).alias("id"), F.col("_hash").alias("hash"))
+    first = stage(own.groupBy("_fp").agg(F.min(me).alias("first")))
+    roots = stage(components(links(first, bits)))
+    linked = first.join(roots.select(F.col("node").alias("_fp"), "root"), "_fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    small = linked.join(least, "root").select("_fp", "least")
+    member = first.join(small, "_fp", "left").select("_fp", F.coalesce("least", "first").alias("_rep"))
+    return own.join(member, "_fp")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable, itself included).
 
@@ -177,17 +191,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows fall in one class; a null id is the smallest of a class only if all its ids are null. Other columns
     of `docs` are ignored; an empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    own = stage(fingerprints(own, "_text", width))
-    first = stage(own.groupBy("_fp").agg(F.min(F.coalesce("_id", F.lit(_LAST))).alias("first")))
-    roots = stage(components(links(first, bits)))
-    linked = first.join(roots.select(F.col("node").alias("_fp"), "root"), "_fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    small = linked.join(least, "root").select("_fp", "least")
-    member = first.join(small, "_fp", "left").select("_fp", F.coalesce("least", "first").alias("least"))
-    return own.join(member, "_fp").select(
+    return _members(docs, id_col, text_col, width, bits).select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("least") < _LAST, F.col("least")).alias("component_id"),
+        F.when(F.col("_rep.id") < _LAST, F.col("_rep.id")).alias("component_id"),
     )
 
 
@@ -196,13 +202,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns stay as they are. Documents without words are one class.
     """
-    found = stage(classes(docs, id_col, text_col, width, bits))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count()
-    keys = kept.select(F.col(id_col).alias("_kept"))
-    out = docs.join(keys, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out
+    found = _members(docs, id_col, text_col, width, bits)
+    kept = stage(
+        found.where((F.coalesce("_id", F.lit(_LAST)) == F.col("_rep.id")) & (F.col("_hash") == F.col("_rep.hash")))
+        .groupBy("_id", "_hash").count()
+    )
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    out = docs.join(kept.select("_id", "_hash"), same, "left_semi")
+    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
 
 
 @query("op5_simhash_anchors")
