@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarmac.session import prepare as prepare_session
 from tarmac.session import stage
@@ -95,3 +96,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         e = stage(e)
     raise RuntimeError(f"links not resolved in {rounds} rounds")
+
+
+def annotate(docs: DataFrame, text_col: str, added: str, fn, keep_text: bool = False) -> DataFrame:
+    """`docs` with the columns `added` (as a DDL string) that fn gives for a batch of texts (UTF-8 bytes)."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    at = [docs.columns.index(f.name) for f in kept]
+    text = docs.columns.index(text_col)
+    schema = StructType([*kept, *StructType.fromDDL(added).fields])
+
+    def run(batches):
+        for b in batches:
+            own = [b.column(i) for i in at]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in fn(texts(b.column(text))))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)

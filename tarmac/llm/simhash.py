@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import blocks, components, query, table, texts
+from tarmac.llm.common import annotate, blocks, components, query, table
 from tarmac.session import stage
 
 SEED = 42
@@ -56,15 +56,10 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3) -> DataFrame:
     """`docs` with a column _fp (long, the 64 bits). Null and empty texts have 0."""
 
-    def run(batches):
-        for b in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in texts(b.column(text_col))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns) if c != at), pa.array(fps.view(np.int64))], names=names)
+    def run(rows):
+        return [np.array([fingerprint(t, width) for t in rows], np.uint64).view(np.int64)]
 
-    at = docs.columns.index(text_col)
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    names = [*(f.name for f in kept), "_fp"]
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_fp bigint"]))
+    return annotate(docs, text_col, "_fp long", run)
 
 
 def _checks() -> np.ndarray:
