@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tarmac.llm import langid, quality, simhash  # noqa: F401
+from tarmac.llm import bpe, langid, quality, simhash  # noqa: F401
 from tarmac.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
