@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tarmac.session import prepare as prepare_session
@@ -103,11 +104,12 @@ def annotate(docs: DataFrame, text_col: str, added: str, fn, keep_text: bool = F
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     at = [docs.columns.index(f.name) for f in kept]
     text = docs.columns.index(text_col)
-    schema = StructType([*kept, *StructType.fromDDL(added).fields])
+    new = StructType.fromDDL(added)
+    schema, kinds = StructType([*kept, *new.fields]), to_arrow_schema(new).types
 
     def run(batches):
         for b in batches:
             own = [b.column(i) for i in at]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in fn(texts(b.column(text))))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, fn(texts(b.column(text))), kinds)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
