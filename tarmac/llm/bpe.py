@@ -112,6 +112,23 @@ def token_starts(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return start
 
 
+def slices(texts: list[str]) -> Iterator[list[bytes]]:
+    """The slices of each text, in order."""
+    joined = "\0".join(texts) + "\0"
+    cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    start = token_starts(cp, ends)
+    size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    at = (np.cumsum(size) - size)[start]
+    data = joined.encode()
+    cuts = at.tolist() + [len(data)]
+    pieces = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    a = 0
+    for m in np.searchsorted(np.flatnonzero(start), ends).tolist():
+        yield pieces[a:m]
+        a = m + 1
+
+
 class Encoder:
     """Ids of texts by ranks (bytes to id); slices already merged are kept, up to `keep` of them."""
 
@@ -148,24 +165,6 @@ class Encoder:
                 near[i] = get(low << 32 | ids[i + 1], none)
         return ids
 
-    def slices(self, texts: list[str]) -> Iterator[list[bytes]]:
-        """The slices of each text, in order; for a long text, in several lists (None ends a text)."""
-        joined = "\0".join(texts) + "\0"
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lens + 1) - 1
-        start = token_starts(cp, ends)
-        size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-        at = (np.cumsum(size) - size)[start]
-        data = joined.encode()
-        cuts = at.tolist() + [len(data)]
-        pieces = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        marks = np.searchsorted(np.flatnonzero(start), ends).tolist()
-        a = 0
-        for m in marks:
-            yield pieces[a:m]
-            a = m + 1
-
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         group: list[str] = []
@@ -173,7 +172,7 @@ class Encoder:
         for t in texts:
             if len(t) > _LONG:
                 yield from self._encode(group)
-                yield b"".join(self._encode(list(_cut(t))))
+                yield b"".join(self._encode(list(cut(t))))
                 group, size = [], 0
                 continue
             group.append(t)
@@ -186,7 +185,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
             self.known.clear()
-        return [b"".join(map(self.known.__getitem__, s)) for s in self.slices(texts)] if texts else []
+        return [b"".join(map(self.known.__getitem__, s)) for s in slices(texts)] if texts else []
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of packed ids: a gather from one flat table by offsets."""
@@ -219,7 +218,7 @@ _LONG = 1 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")  # a slice always starts at a space between two others
 
 
-def _cut(text: str) -> Iterator[str]:
+def cut(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > _LONG and (m := _SAFE.search(text, at + _LONG)):
         yield text[at : m.start()]
