@@ -20,7 +20,7 @@ from tarmac.llm.common import annotate, blocks, query, table
 
 RADIUS, QUARTERS = 11, 4  # within 11 bits, one of four 16-bit blocks is within 2
 SHINGLE, LEAST = 5, 0.8
-RATIO = 1.1  # between size classes; an item's class is the largest size not above its length
+RATIO = 1.2  # between size classes; an item's class is the nearest size, at most a tenth away
 CHUNK = 1 << 14  # words fingerprinted at once
 
 
@@ -44,7 +44,7 @@ def packed(bits: np.ndarray) -> np.ndarray:
 
 
 def window_sizes(longest: int) -> list[int]:
-    """1, 2, ... while steps of RATIO are under one word, then geometric."""
+    """1, 2, ... while steps of RATIO are under one word, then geometric, up to past the longest."""
     out = [1]
     while out[-1] < longest:
         out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
@@ -85,7 +85,7 @@ class Index:
         sizes = window_sizes(self.longest)
         groups: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
-            groups.setdefault(max(s for s in sizes if s <= len(w)), []).append(k)
+            groups.setdefault(min(sizes, key=lambda s: max(s, len(w)) / min(s, len(w))), []).append(k)
         self.classes = [self._class(s, at) for s, at in sorted(groups.items())]
         self.known: dict[bytes, int] = _Hashes()
 
@@ -136,7 +136,7 @@ class Index:
         left = (first + sizes)[part] - np.arange(n)  # words up to the end of the part
         ones = np.zeros((n, 64), np.uint16)
         np.cumsum(bits_of(features(h)), axis=0, dtype=np.uint16, out=ones[1:])
-        whole = np.array([i for i, s in enumerate(sizes) if 1 < s <= self.longest])
+        whole = np.array([i for i, s in enumerate(sizes) if 1 < s < self.classes[-1].size])
         seen = set()
         for c in self.classes:
             s = c.size

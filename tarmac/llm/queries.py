@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tarmac.llm import bpe, decontaminate, langid, quality, shards, simhash, tokenfile  # noqa: F401
+from tarmac.llm import bpe, decontaminate, egojoin, langid, quality, shards, simhash, tokenfile  # noqa: F401
 from tarmac.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
