@@ -132,7 +132,20 @@ pv2 AS (
 st AS (
   SELECT camera_id, frame_idx, min(track_id) AS stopped_id FROM features
   WHERE speed_kmh <= 5 AND stop_duration >= 5 GROUP BY 1, 2),
+bad AS (
+  SELECT camera_id, frame_idx, list({'id': track_id, 'x': cx, 'y': cy} ORDER BY track_id) AS items
+  FROM pv2 WHERE acceleration_ma <= -4 GROUP BY 1, 2 HAVING count(*) >= 3),
+seeded AS (
+  SELECT camera_id, frame_idx, items AS rest, CAST([] AS BIGINT[]) AS ids FROM bad
+  UNION ALL
+  SELECT camera_id, frame_idx,
+         list_filter(rest, lambda o: sqrt((o.x - rest[1].x) ** 2 + (o.y - rest[1].y) ** 2) > 200),
+         list_transform(list_filter(rest, lambda o: sqrt((o.x - rest[1].x) ** 2 + (o.y - rest[1].y) ** 2) <= 200), lambda o: o.id)
+  FROM seeded WHERE len(rest) > 0),
 viol AS (
+  SELECT camera_id, frame_idx, ids[1] AS track_id, 'R9' AS rule_id, 8 AS pos, 'CRITICAL' AS severity, 1.0 AS wt,
+         least(1.0, len(ids) / 6.0) AS score, ids AS tracks FROM seeded WHERE len(ids) >= 3
+  UNION ALL
   SELECT camera_id, frame_idx, track_id, 'R1' AS rule_id, 0 AS pos, 'HIGH' AS severity, 0.8 AS wt,
          least(1.0, 0.8 * (1 + greatest(0.0, abs(acceleration_ma / -6.0) - 1) * 0.5)) AS score,
          [track_id] AS tracks
@@ -167,32 +180,33 @@ viol AS (
   FROM pv2 JOIN st USING (camera_id, frame_idx)
   WHERE speed_kmh > 5 AND track_age >= 5 AND ttc_min < 5)"""
 
-NO_CLUSTERS = [r if r["type"] != "group" else {**r, "type": "off"} for r in RULES]
-
 
 @query("rule_violations", f"""
-WITH {SQL_VIOL}
+WITH RECURSIVE {SQL_VIOL}
 SELECT camera_id, frame_idx, tracks[1] AS track_id, rule_id, severity, round(score, 6) AS score,
        array_to_string(tracks, ',') AS involved FROM viol""")
 def rule_violations(spark, sf):
-    v = rules.violations(feats(spark, sf), NO_CLUSTERS)
+    v = rules.violations(feats(spark, sf))
     return v.select("camera_id", "frame_idx", F.get("involved_tracks", F.lit(0)).alias("track_id"),
                     "rule_id", "severity", r6("score"),
                     F.array_join("involved_tracks", ",").alias("involved"))
 
 
 @query("rule_matrix", f"""
-WITH {SQL_VIOL}
+WITH RECURSIVE {SQL_VIOL}
 SELECT camera_id, rule_id, severity, count(*) AS n, round(max(score), 6) AS max_score,
        round(avg(score), 6) AS avg_score FROM viol GROUP BY 1, 2, 3""")
 def rule_matrix(spark, sf):
-    v = rules.violations(feats(spark, sf), NO_CLUSTERS)
+    v = rules.violations(feats(spark, sf))
     return v.groupBy("camera_id", "rule_id", "severity").agg(
         F.count("*").alias("n"), F.round(F.max("score"), 6).alias("max_score"),
         F.round(F.avg("score"), 6).alias("avg_score"))
 
 
-@query("cluster_braking")
+@query("cluster_braking", f"""
+WITH RECURSIVE {SQL_VIOL}
+SELECT camera_id, frame_idx, round(score, 6) AS score, array_to_string(tracks, ',') AS involved
+FROM viol WHERE rule_id = 'R9'""")
 def cluster_braking(spark, sf):
     rule, pos = next((r, i) for i, r in enumerate(RULES) if r["type"] == "group")
     v = rules.cluster_violations(feats(spark, sf), rule, pos)
@@ -207,12 +221,12 @@ vo AS (
 
 
 @query("top_violations", f"""
-WITH {SQL_TOP}
+WITH RECURSIVE {SQL_TOP}
 SELECT camera_id, frame_idx,
        string_agg(rule_id || ':' || tracks[1], ',' ORDER BY rk) FILTER (rk <= 5) AS top5,
        round(max(score), 6) AS max_score, count(*) AS n FROM vo GROUP BY 1, 2""")
 def top_violations(spark, sf):
-    b = rules.by_frame(rules.violations(feats(spark, sf), NO_CLUSTERS))
+    b = rules.by_frame(rules.violations(feats(spark, sf)))
     head = F.transform(F.slice("violations", 1, 5), lambda v: F.concat(
         v["rule_id"], F.lit(":"), F.get(v["involved_tracks"], F.lit(0))))
     return b.select(
@@ -265,12 +279,12 @@ def scored_frames(spark, sf):
     frames = o.groupBy("camera_id", "frame_idx").agg(raw.alias("raw_scores"), F.max("k").alias("k"))
     active = F.array(F.lit("a"), F.lit("b"))
     frames = frames.withColumn("ml_scores", ensemble.keep_models(F.col("raw_scores"), active))
-    v = rules.by_frame(rules.violations(motion.features(o), NO_CLUSTERS))
+    v = rules.by_frame(rules.violations(motion.features(o)))
     return ensemble.score(frames.join(v, ["camera_id", "frame_idx"], "left"))
 
 
 @query("ensemble_alerts", f"""
-WITH {SQL_ENS}
+WITH RECURSIVE {SQL_ENS}
 SELECT camera_id, frame_idx, round(final_score, 6) AS final_score, trigger, trigger_reason,
        coalesce(involved, '') AS involved,
        CASE WHEN final_score < 0.3 THEN 'NONE' WHEN final_score >= 0.7 THEN 'ALARM' ELSE 'ALERT' END
@@ -284,7 +298,7 @@ def ensemble_alerts(spark, sf):
 
 
 @query("shadow_log", f"""
-WITH {SQL_ENS}
+WITH RECURSIVE {SQL_ENS}
 SELECT camera_id, frame_idx, round(final_score, 6) AS final_score, trigger, trigger_reason,
        least(nv, 5) AS n_violations, round(a, 6) AS score_a, round(b, 6) AS score_b FROM ens""")
 def shadow_log(spark, sf):
