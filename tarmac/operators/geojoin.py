@@ -47,10 +47,11 @@ def _cell(level, lat, lon):
 
 
 def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id",
-            by: tuple[str, ...] = ()) -> DataFrame:
+            by: tuple[str, ...] = (), planar: bool = False) -> DataFrame:
     """The `k` nearest sites of every distinct (lat, lon) in `points`, ranked from 1.
 
-    With `by`, both sides carry these columns and only sites with equal values count.
+    With `by`, both sides carry these columns and only sites with equal values count. Distances are
+    great-circle kilometres or, if `planar`, degrees as on flat paper (column `distance_km` as well).
 
     For a point, the finest grid whose 3x3 cells around it hold k sites bounds the k-th distance;
     a grid coarse enough to cover that bound is then searched, so the answer is exact. Returns
@@ -81,6 +82,8 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id
     by_point = Window.partitionBy("lat", "lon", *by).orderBy("distance_km")
     fy, fx = _cell(F.col("_lv"), F.col("lat"), F.col("lon"))
     km = haversine_km("lat", "lon", "site_lat", "site_lon")
+    if planar:
+        km = F.hypot(F.col("lat") - F.col("site_lat"), F.col("lon") - F.col("site_lon"))
     cells = broadcast_if_small(spread)
     bound = (
         found.withColumn("_y", fy).withColumn("_x", fx).join(cells, [*by, "_lv", "_y", "_x"])
@@ -90,6 +93,8 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id
     use = F.when(F.abs("lat") <= 44, F.col("_lv") + 1).otherwise(F.col("_lv") + 2)
     side = F.lit(_BASE) * F.pow(F.lit(float(_STEP)), use)
     edge = (F.abs("lat") + 2 * side > 79) | (F.abs("lon") + 2 * side > 180)
+    if planar:  # a cell of the next level is wider than the diagonal of the 3x3 block that held k sites
+        use, edge = F.col("_lv") + 1, F.lit(False)
     q = p.join(found, ["lat", "lon", *by], "left").join(bound, ["lat", "lon", *by], "left").withColumn(
         "_lv", F.when(F.col("_lv").isNull() | edge, F.lit(_ALL)).otherwise(use))
     qy, qx = _cell(F.col("_lv"), F.col("lat"), F.col("lon"))
@@ -100,7 +105,7 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, site_id: str = "cctv_id
         "_x", F.lit(0).cast("long"))
     cand = q.join(broadcast_if_small(spread.unionByName(every)), [*by, "_lv", "_y", "_x"])
     # nothing beyond the k-th site already seen can rank
-    north = F.abs(F.col("lat") - F.col("site_lat")) * 111.19 <= F.col("_bound") + 0.01
+    north = F.abs(F.col("lat") - F.col("site_lat")) * (1.0 if planar else 111.19) <= F.col("_bound") + 0.01
     cand = cand.where(F.col("_bound").isNull() | (north & (km <= F.col("_bound"))))
     cand = cand.withColumn("distance_km", km).drop("_bound")
     w = Window.partitionBy("lat", "lon", *by).orderBy("distance_km", site_id)

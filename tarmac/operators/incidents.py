@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from tarmac.operators import folds
 from tarmac.operators import sequence as seq
 from tarmac.operators.geojoin import nearest, radius_join
 from tarmac.operators.textjoin import contains_join
-from tarmac.session import cut_lineage, is_small, stage
+from tarmac.session import cut_lineage, stage
 
 # fixed values: radii, holds and retention limits
 MATCH_KM, VERIFY_KM, GROUP_KM = 5.0, 10.0, 5.0
@@ -152,30 +151,33 @@ def merge_holds(holds: DataFrame, keys, start: str, end: str, tie: str, chunk: C
         F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("holds")).drop("_run")
 
 
-def assign_cameras(hotspots: DataFrame, cameras: DataFrame, max_hotspots: int = 2000) -> DataFrame:
+def assign_cameras(hotspots: DataFrame, cameras: DataFrame, first: int = 8) -> DataFrame:
     """Each hotspot in order takes the nearest camera nobody took before.
 
-    With n hotspots a hotspot never needs more than its n nearest cameras, so Spark prepares n
-    candidates each; only those n*n rows are walked in order. Input hotspots: pos, name, lat, lon.
+    Deferred acceptance: every hotspot without a camera asks its next nearest, a camera keeps the
+    earliest hotspot that has asked. As all cameras rank hotspots alike this ends in exactly what
+    taking turns gives, in rounds over tables. A hotspot starts with its `first` nearest cameras;
+    when all have turned it down the list of candidates doubles. Input hotspots: pos, name, lat, lon.
     """
-    if not is_small(hotspots, max_hotspots):
-        raise ValueError(f"more than {max_hotspots} hotspots")
-    n = hotspots.count()
-    cand = hotspots.join(nearest(hotspots, sites(cameras), n), ["lat", "lon"])
-    schema = "pos long, name string, cctv_id long, distance_km double"
-
-    def walk(pdf):
-        used, out = set(), []
-        for _, rows in pdf.sort_values(["pos", "rank"]).groupby("pos", sort=True):
-            for r in rows.itertuples():
-                if r.cctv_id not in used:
-                    used.add(r.cctv_id)
-                    out.append((r.pos, r.name, r.cctv_id, r.distance_km))
-                    break
-        return pd.DataFrame(out, columns=["pos", "name", "cctv_id", "distance_km"])
-
-    slim = cand.select("pos", "name", "cctv_id", "distance_km", "rank", F.lit(0).alias("_one"))
-    return slim.groupBy("_one").applyInPandas(walk, schema)
+    spots, total = stage(hotspots), cameras.select("cctv_id").distinct().count()
+
+    def candidates(k):
+        near = nearest(spots, sites(cameras), k).select("lat", "lon", "cctv_id", "distance_km", "rank")
+        return stage(spots.join(near, ["lat", "lon"]).select("pos", "name", "cctv_id", "distance_km", "rank"))
+
+    k = min(first, total)
+    cand = candidates(k)
+    asks = stage(spots.select("pos", F.lit(1).alias("rank")))  # the candidate each hotspot is at
+    while True:
+        if k < total and not asks.where(F.col("rank") > k).isEmpty():
+            k = min(2 * k, total)
+            cand = candidates(k)
+        now = cand.join(asks, ["pos", "rank"])
+        kept = now.groupBy("cctv_id").agg(F.min("pos").alias("kept"))
+        lost = stage(now.join(kept, "cctv_id").where("pos <> kept").select("pos", F.lit(1).alias("step")))
+        if lost.isEmpty() and (k == total or asks.where(F.col("rank") > k).isEmpty()):
+            return now.select("pos", "name", "cctv_id", "distance_km")
+        asks = stage(asks.join(lost, "pos", "left").select("pos", (F.col("rank") + F.coalesce("step", F.lit(0))).alias("rank")))
 
 
 def camera_areas(cameras: DataFrame, km: float = GROUP_KM) -> DataFrame:
@@ -208,39 +210,44 @@ _GROUPED = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("group_id", T.LongType())])
 
 
-def _km(a, b, c, d):
-    s1 = math.sin(math.radians(c - a) / 2)
-    s2 = math.sin(math.radians(d - b) / 2)
-    x = s1 * s1 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * s2 * s2
-    return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(x)))
-
-
 def group_step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-    """Put triggers, in time order, into incident groups named after their first trigger."""
-    groups, named, out = state.get("groups", []), state.get("named", {}), []
-    for r in rows.itertuples():
-        known = None if pd.isna(r.incident_id) else str(int(r.incident_id))
-        gid = named.get(known) if known else None
-        groups = [g for g in groups if r.t - g["t"] <= GROUP_SEC]
-        if gid is None:
-            for g in groups:
-                if r.camera_id not in g["cams"] and _km(r.lat, r.lon, g["lat"], g["lon"]) <= GROUP_KM:
-                    gid = g["id"]
-                    g["cams"].append(int(r.camera_id))
-                    break
-        else:
-            for g in groups:
-                if g["id"] == gid:
-                    g["cams"].append(int(r.camera_id))
-        if gid is None:
-            gid = int(r.event_id)
-            groups.append({"id": gid, "t": float(r.t), "lat": float(r.lat), "lon": float(r.lon),
-                           "cams": [int(r.camera_id)]})
-            if known:
-                named[known] = gid
-        out.append((int(r.event_id), gid))
-    return ({"groups": groups, "named": named},
-            pd.DataFrame(out, columns=["event_id", "group_id"]))
+    """Put triggers, in time order, into incident groups named after their first trigger.
+
+    A group is its leading trigger: candidates for a row are the leaders in reach in time and space,
+    in the order they began, whose cameras don't include the row's. State: leaders as columns, the
+    (leader, camera) pairs taken, and which leader an official id stands for.
+    """
+    lead = [tuple(x) for x in state.get("lead", [])]  # (event_id, t, lat, lon)
+    taken, official = {tuple(x) for x in state.get("taken", [])}, dict(state.get("official", {}))
+    n, start = len(rows), len(lead)
+    table = np.array(lead + [(0, np.inf, 0, 0)] * n, float).reshape(start + n, 4)
+    used, group = start, np.zeros(n, np.int64)
+    names = np.array([x[0] for x in lead] + [0] * n, np.int64)
+    at = rows[["t", "lat", "lon"]].to_numpy(float)
+    cams, events = rows["camera_id"].to_numpy(np.int64), rows["event_id"].to_numpy(np.int64)
+    ids = [None if pd.isna(x) else str(int(x)) for x in rows["incident_id"]]
+    for i in range(n):
+        t, lat, lon = at[i]
+        fresh = np.flatnonzero(t - table[:used, 1] <= GROUP_SEC)
+        mine = official.get(ids[i]) if ids[i] else None
+        if mine is None:
+            p, q = np.radians(table[fresh, 2]), np.radians(lat)
+            half = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon - table[fresh, 3]) / 2) ** 2
+            close = fresh[2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(half))) <= GROUP_KM]
+            mine = next((int(names[k]) for k in close if (int(names[k]), int(cams[i])) not in taken), None)
+            if mine is None:
+                mine = int(events[i])
+                table[used], names[used] = (mine, t, lat, lon), mine
+                used += 1
+                if ids[i]:
+                    official[ids[i]] = mine
+        taken.add((mine, int(cams[i])))
+        group[i] = mine
+    last = at[-1, 0] if n else -np.inf
+    alive = [(int(names[k]), *table[k, 1:].tolist()) for k in range(used) if last - table[k, 1] <= GROUP_SEC]
+    keep = {x[0] for x in alive}
+    return ({"lead": alive, "taken": sorted(x for x in taken if x[0] in keep), "official": official},
+            pd.DataFrame({"event_id": events, "group_id": group}))
 
 
 def group_triggers(triggers: DataFrame, cameras: DataFrame,
@@ -251,12 +258,14 @@ def group_triggers(triggers: DataFrame, cameras: DataFrame,
     first camera is within 5 km and which does not hold this camera yet, else starts one. Only
     triggers of one camera area interact, unless an official id ties areas together; areas sharing
     an id are merged. An area's history is split wherever every group has aged out and no id spans
-    the gap. Input: event_id, camera_id, t, incident_id (nullable).
+    the gap. A camera the catalogue lacks is an area of its own, near nothing, tied to others by
+    official ids only. Input: event_id, camera_id, t, incident_id (nullable).
     """
     areas = camera_areas(cameras)
     t = triggers.join(
-        cameras.select(F.col("cctv_id").alias("camera_id"), "lat", "lon"), "camera_id").join(
-        areas.withColumnRenamed("cctv_id", "camera_id"), "camera_id")
+        cameras.select(F.col("cctv_id").alias("camera_id"), "lat", "lon"), "camera_id", "left").join(
+        areas.withColumnRenamed("cctv_id", "camera_id"), "camera_id", "left").withColumn(
+        "area", F.coalesce("area", -1 - F.col("camera_id")))
     ids = t.where("incident_id is not null")
     span = ids.groupBy("incident_id").agg(F.max("t").alias("_last"), F.min("area").alias("_low"))
     tied = ids.select("incident_id", "area").distinct().join(span, "incident_id")
@@ -287,8 +296,8 @@ def match_markers(cameras: DataFrame, markers: DataFrame, top: int = 5) -> DataF
     """Map markers per camera by (name mismatch, route mismatch, squared degree distance).
 
     Text containment is resolved once per distinct camera name and route, then each class of
-    markers - same name, same route, both, any - is searched for its nearest 2*top. A marker that
-    makes the final `top` is always among them. Both sides need id, name, route, lat, lon.
+    markers - same name, same route, both, any - is searched for its nearest `top` in degrees. A
+    marker of the final `top` is among those of its own class. Both sides need id, name, route, lat, lon.
     """
     def clean(c):
         return F.translate(c, "[] ", "")
@@ -306,12 +315,10 @@ def match_markers(cameras: DataFrame, markers: DataFrame, top: int = 5) -> DataF
     by_name = names.select("marker_id", "cn").join(spot, "marker_id")
     by_route = routes.select("marker_id", "cr").join(spot, "marker_id")
     both = by_name.join(routes.select("marker_id", "cr"), "marker_id")
-    k = 2 * top
     keys = ["camera_id", "marker_id", "site_lat", "site_lon", "lat", "lon"]
 
     def closest(s, by):
-        # squared degrees and kilometres order differently, so search wider and rank afterwards
-        return c.join(nearest(c, s, 4 * k, "marker_id", by), ["lat", "lon", *by]).select(*keys)
+        return c.join(nearest(c, s, top, "marker_id", by, planar=True), ["lat", "lon", *by]).select(*keys)
 
     cand = closest(spot, ()).unionByName(closest(by_name, ("cn",))).unionByName(
         closest(by_route, ("cr",))).unionByName(closest(both, ("cn", "cr"))).distinct()

@@ -160,7 +160,21 @@ def promotion_intervals(spark, sf):
                          F.floor(F.col("start_t") / (86_400 * 30)))
 
 
-@query("greedy_assignment")
+@query("greedy_assignment", f"""
+WITH RECURSIVE h AS (
+  SELECT n_nationkey AS pos, n_name AS name, 33 + (n_nationkey * 7919 % 6000) / 1000.0 AS lat,
+         124 + (n_nationkey * 104729 % 8000) / 1000.0 AS lon FROM nation),
+s AS (SELECT c_custkey AS cctv_id, 33 + (c_custkey * 7919 % 6000) / 1000.0 AS lat,
+             124 + (c_custkey * 104729 % 8000) / 1000.0 AS lon FROM customer),
+d AS (SELECT pos, name, cctv_id, {KM} AS km FROM s i, h c),
+g AS (
+  SELECT CAST(-1 AS BIGINT) AS pos, '' AS name, CAST(-1 AS BIGINT) AS cctv_id, CAST(0 AS DOUBLE) AS distance_km,
+         CAST([] AS BIGINT[]) AS used
+  UNION ALL
+  SELECT d.pos, any_value(d.name), arg_min(d.cctv_id, (km, d.cctv_id)), min(km),
+         list_append(any_value(used), arg_min(d.cctv_id, (km, d.cctv_id)))
+  FROM g JOIN d ON d.pos = g.pos + 1 WHERE NOT list_contains(used, d.cctv_id) GROUP BY d.pos)
+SELECT pos, name, cctv_id, round(distance_km, 6) AS distance_km FROM g WHERE pos >= 0""")
 def greedy_assignment(spark, sf):
     """Nations take, in order, the nearest customer site nobody took before."""
     h = S.table(spark, sf, "nation").select(
