@@ -43,23 +43,24 @@ def dedupe_stream(spark, sf):
     return runs.drain(runs.first_seen(e, ["user_id", "event_type", "day"])).drop("ts")
 
 
-def frame_table(spark, sf):
+def trigger_signals(spark, sf):
     m = stage(motion.motion(S.obs(spark, sf)))
-    return triggers.frames(m, motion.pair_ttc(m, lane_filter=False))
+    cars = m.where(~F.col("cls").isin("person", "pedestrian"))
+    return triggers.signals(m, motion.pair_ttc(cars))
 
 
 @query("trigger_detector")
 def trigger_detector(spark, sf):
     """All triggers of all cameras, batch form."""
-    t = triggers.detect(frame_table(spark, sf))
+    t = triggers.detect(stage(trigger_signals(spark, sf)))
     return t.select("camera_id", "type", "frame_idx", "t", F.array_join("involved_tracks", ",").alias("involved"),
                     r6("severity"))
 
 
 @query("trigger_stream")
 def trigger_stream(spark, sf):
-    f = stage(frame_table(spark, sf))
-    s = runs.keyed_fold(runs.as_stream(f, "t"), ["camera_id"], ["frame_idx"], triggers.step, triggers.SCHEMA)
+    f = triggers.stream_rows(trigger_signals(spark, sf), F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")))
+    s = runs.keyed_fold(runs.as_stream(stage(f), "t"), ["camera_id", "type"], ["frame_idx"], triggers.stream_fold, triggers.SCHEMA)
     return runs.drain(s).select("camera_id", "type", "frame_idx", "t",
                                 F.array_join("involved_tracks", ",").alias("involved"), r6("severity"))
 
