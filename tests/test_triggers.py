@@ -21,7 +21,7 @@ def run(df, size):
     state, out = {}, []
     for a in range(0, len(df), size):
         state, found = N.fold(json.loads(json.dumps(state)), df[a : a + size])
-        out += found.values.tolist()
+        out += [[*r[:5], round(r[5], 9), r[6]] for r in found.values.tolist()]
     return out
 
 
