@@ -25,15 +25,16 @@ def event_stream(spark, sf):
 @query("traffic_stream", f"""
 WITH {SQL_FLOW}
 SELECT ic_name, period_start, volume, round(avg_speed, 6) AS avg_speed, round(speed_std, 6) AS speed_std,
-       round(truck_ratio, 6) AS truck_ratio FROM flow
-WHERE period_start + {PERIOD} <= (SELECT floor(epoch(max(ts))) FROM events) - {DELAY}""")
+       round(truck_ratio, 6) AS truck_ratio FROM flow""")
 def traffic_stream(spark, sf):
-    """Interval flow as a stream: every window the watermark has closed."""
-    e = event_stream(spark, sf).select(
+    """Interval flow as a stream; a heartbeat past the end closes the last windows."""
+    e = event_stream(spark, sf)
+    last = S.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    e = runs.heartbeat(e, f"{2 * PERIOD + DELAY + 1} seconds", last).select(
         (F.col("user_id") % 10).alias("ic_name"), "ts", F.expr("user_id div 10").alias("track_id"),
         F.col("value").alias("speed"), S.vehicle_class().alias("vehicle_cls"), "event_id")
     f = runs.drain(runs.traffic_flow(e, PERIOD, f"{DELAY} seconds"))
-    return f.select("ic_name", "period_start", "volume", r6("avg_speed"), r6("speed_std"), r6("truck_ratio"))
+    return f.where("ic_name IS NOT NULL").select("ic_name", "period_start", "volume", r6("avg_speed"), r6("speed_std"), r6("truck_ratio"))
 
 
 @query("dedupe_stream", """
@@ -77,16 +78,15 @@ def feature_state_stream(spark, sf):
 
 
 @query("episode_stream", f"""
-WITH RECURSIVE {SQL_EPISODES},
-ep AS (SELECT s0.camera_id, s0.event_id, s0.type, s0.t AS start_t, CAST(end_t AS DOUBLE) AS end_t
-       FROM chain c JOIN s0 ON s0.camera_id = c.camera_id AND s0.rn = c.rn)
-SELECT * FROM ep WHERE end_t <= (SELECT max(t) FROM f WHERE f.camera_id = ep.camera_id)""")
+WITH RECURSIVE {SQL_EPISODES}
+SELECT s0.camera_id, s0.event_id, s0.type, s0.t AS start_t, CAST(end_t AS DOUBLE) AS end_t
+FROM chain c JOIN s0 ON s0.camera_id = c.camera_id AND s0.rn = c.rn""")
 def episode_stream(spark, sf):
-    """Finished recordings as a stream; the last one of a camera closes with its next trigger."""
+    """Recordings as a stream, each put out when its time is over."""
     t = episodes.recordable(S.triggers(spark, sf)).select(
         "camera_id", "event_id", "type", "t", F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")).alias("ts"))
-    s = runs.keyed_fold(runs.as_stream(stage(t), "t"), ["camera_id"], ["t", "event_id"], runs.episode_step,
-                        runs.EPISODE, idle_sec=1e9)
+    s = runs.keyed_fold(runs.as_stream(stage(t), "t", beat="2 days"), ["camera_id"], ["t", "event_id"], runs.episode_step,
+                        runs.EPISODE, idle_sec=86_400, finish=runs.episode_finish, due=runs.episode_due(S.EPOCH_2024))
     return runs.drain(s).drop("seconds")
 
 

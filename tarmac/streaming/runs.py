@@ -28,8 +28,25 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def as_stream(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """A derived table as a file stream of `parts` files in time order, one file per micro-batch."""
+def heartbeat(stream: DataFrame, after: str, like: DataFrame) -> DataFrame:
+    """`stream` and one more row, empty but for a `ts` that lies `after` the last of the table `like`.
+
+    The end of a bounded source closes nothing by itself; a beat past it lets the watermark close the
+    last windows and timers, as a live feed's next rows would.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/beat-{uuid.uuid4().hex}"
+    fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields if f.name != "ts"]
+    row = like.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {after}")).alias("ts"), *fields)
+    row.select(*stream.columns).write.parquet(path)
+    return stream.union(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def as_stream(df: DataFrame, order: str, parts: int = 3, beat: str | None = None) -> DataFrame:
+    """A derived table as a file stream of `parts` files in time order, one file per micro-batch.
+
+    With `beat` a last file has one row, empty but for a `ts` so long after the others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     lo, hi = df.agg(F.min(order), F.max(order)).first()
@@ -39,6 +56,10 @@ def as_stream(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
         if i < parts - 1:
             ok = ok & (F.col(order) < lo + width * (i + 1))
         df.where(ok).coalesce(1).write.mode("append").parquet(path)
+    if beat:
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "ts"]
+        last = df.agg((F.max("ts") + F.expr(f"INTERVAL {beat}")).alias("ts")).select("ts", *rest)
+        last.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -68,23 +89,40 @@ def keyed_fold(
     stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], out_schema: T.StructType,
     *, delay: str = FRAME_DELAY, idle_sec: float = 600.0,
+    finish: Callable[[dict], tuple[dict, pd.DataFrame]] | None = None, due: Callable[[dict], float | None] | None = None,
 ) -> DataFrame:
-    """Fold each key's rows with JSON state; a key silent for `idle_sec` of event time is forgotten."""
+    """Fold each key's rows with JSON state; a key silent for `idle_sec` of event time is forgotten.
+
+    `due(state)` may name an earlier time (seconds since 1970) at which something ends by itself: then
+    `finish(state)` gives the state after it and the rows to put out. It is also called before a key is
+    forgotten, so nothing open is lost. Rows without a key (a heartbeat) only move the watermark.
+    """
     names = [f.name for f in out_schema.fields]
 
     def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        if not len(rows):
+        if any(k is None for k in key):
             return
         st = json.loads(state.get[0]) if state.exists else {}
-        st, out = step(st, rows.sort_values(list(order), kind="stable"))
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            open_ = due and due(st) is not None
+            if finish:
+                st, out = finish(st)
+                yield out[names]
+            if not open_:
+                state.remove()
+                return
+        else:
+            rows = pd.concat(list(pdfs), ignore_index=True)
+            if not len(rows):
+                return
+            st, out = step(st, rows.sort_values(list(order), kind="stable"))
+            st["_last"] = max(st.get("_last", 0), rows["ts"].max().timestamp() * 1000)
+            yield out[names]
+        ends = due(st) if due else None
         state.update((json.dumps(st),))
-        last = int(rows["ts"].max().timestamp() * 1000 + idle_sec * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield out[names]
+        at = st.get("_last", now) + idle_sec * 1000 if ends is None else ends * 1000
+        state.setTimeoutTimestamp(int(max(at, now + 1)))
 
     return stream.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
         fn, out_schema, T.StructType([T.StructField("s", T.StringType())]), "append",
@@ -121,10 +159,24 @@ def episode_step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
             open_ = {"cam": int(r.camera_id), "id": int(r.event_id), "type": r.type, "t": t,
                      "end": t + E.RECORD_MIN}
             seen = []
-    return ({"open": open_, "idle": idle_from, "seen": seen},
+    return ({**state, "open": open_, "idle": idle_from, "seen": seen},
             pd.DataFrame(out, columns=[f.name for f in EPISODE.fields]))
 
 
+def episode_due(epoch: float) -> Callable[[dict], float | None]:
+    """When the open recording of a state ends; trigger times count from `epoch`."""
+    return lambda state: epoch + state["open"]["end"] if state.get("open") else None
+
+
+def episode_finish(state: dict) -> tuple[dict, pd.DataFrame]:
+    """The open recording, ended by time."""
+    o, out = state.get("open"), []
+    if o:
+        out = [(o["cam"], o["id"], o["type"], o["t"], o["end"], o["end"] - o["t"])]
+        state = {**state, "open": None, "idle": o["end"] + episodes.RECORD_COOLDOWN}
+    return state, pd.DataFrame(out, columns=[f.name for f in EPISODE.fields])
+
+
 MOTION = T.StructType([
     T.StructField("camera_id", T.LongType()), T.StructField("track_id", T.LongType()),
     T.StructField("frame_idx", T.LongType()), T.StructField("track_age", T.LongType()),
@@ -140,5 +192,5 @@ def motion_step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
         since = (r.t if since is None else since) if v <= 5.0 else None
         out.append((r.camera_id, r.track_id, r.frame_idx, age, v, r.t - since if since is not None else 0.0))
         last = [float(r.cx), float(r.cy)]
-    return ({"last": last, "age": age, "since": None if since is None else float(since)},
+    return ({**state, "last": last, "age": age, "since": None if since is None else float(since)},
             pd.DataFrame(out, columns=[f.name for f in MOTION.fields]))
