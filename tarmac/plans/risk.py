@@ -275,7 +275,7 @@ def clip_detector(spark, sf):
     """Forest on the 28 clip features: trained on a stratified 70 %, scored on the rest."""
     df = stage(clip_table(spark, sf))
     train, test = learners.holdout(df)
-    model = learners.train_forest(train, C.KINEMATIC, trees=50)
+    model = learners.train_forest(train, C.KINEMATIC)
     return learners.predict(model, test).select("clip_id", "label", r6("prob"))
 
 
@@ -302,7 +302,7 @@ def risk_model(spark, sf):
     a = agg_table(spark, sf).select("ic_name", "period_start")
     lab = risk.labels(a, risk.accident_links(acc_table(spark, sf), a), PERIOD)
     df = stage(f.join(lab, ["ic_name", "period_start"]))
-    model = learners.train_risk(df, risk.FEATURES, ["ic_name", "period_start"], folds=2, max_iter=5)
+    model = learners.train_risk(df, risk.FEATURES, ["ic_name", "period_start"])
     p = learners.predict(model, df)
     return p.select("ic_name", "period_start", "label", r6("prob"),
                     risk.risk_level(F.col("prob")).alias("risk_level"))
