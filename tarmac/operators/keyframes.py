@@ -78,8 +78,9 @@ def change_points(hist: DataFrame, keys, max_frames: int = MAX_FRAMES) -> DataFr
 def nearest_frame(triggers: DataFrame, frames: DataFrame, keys) -> DataFrame:
     """The stored frame closest to each trigger frame (the earlier one on a tie).
 
-    Frames are spread over ranges of 256; a trigger looks into its own and the neighbouring ranges,
-    and only triggers finding nothing there look at their video's first and last frame.
+    Frames are spread over ranges of 256; a trigger looks into its own and the neighbouring ranges.
+    One finding nothing there takes the closer of the last frame before and the first after, found
+    on the ranges' first and last frames.
     """
     keys = list(keys)
     r = 256
@@ -94,8 +95,15 @@ def nearest_frame(triggers: DataFrame, frames: DataFrame, keys) -> DataFrame:
         F.min_by("frame_idx", F.struct(gap, "frame_idx")).alias("frame_idx"))
     # the three ranges show every frame up to 256 away, so a hit within that is the closest overall
     rest = triggers.join(best, own, "left_anti")
-    far = rest.join(f, keys).groupBy(*own).agg(
-        F.min_by("frame_idx", F.struct(gap, "frame_idx")).alias("frame_idx"))
+    ends = f.withColumn("_b", F.floor(F.col("frame_idx") / r)).groupBy(*keys, "_b").agg(
+        F.min("frame_idx").alias("_lo"), F.max("frame_idx").alias("_hi"))
+    both = ends.unionByName(rest.withColumn("_b", F.floor(F.col("trigger_frame") / r)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_b")
+    before = F.last("_hi", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("_lo", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    sides = F.filter(F.array(before, after), lambda x: x.isNotNull())
+    far = both.withColumn("_s", F.transform(sides, lambda x: F.struct(F.abs(x - F.col("trigger_frame")).alias("g"), x.alias("x")))).where(
+        F.col("trigger_frame").isNotNull() & (F.size("_s") > 0)).select(*own, F.array_min("_s")["x"].alias("frame_idx"))
     return best.unionByName(far)
 
 

@@ -44,7 +44,7 @@ def upsert(new: DataFrame, path: str, key: Sequence[str], seq: str, partition: s
     new = stage(new)
     if _exists(spark, path):
         old = spark.read.parquet(path)
-        touched = old.join(F.broadcast(new.select(partition).distinct()), partition, "left_semi")
+        touched = old.join(new.select(partition).distinct(), partition, "left_semi")
         merged = stage(merge(touched, new, key, seq))
     else:
         merged = latest_by_key(new, key, seq)
