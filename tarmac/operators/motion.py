@@ -17,6 +17,7 @@ NEIGHBOUR_RADIUS_PX = 200.0
 LANE_OVERLAP = 0.3
 KEYS = ["camera_id", "track_id"]
 FRAME = ["camera_id", "frame_idx"]
+# fixed values: feature names
 FEATURES = [
     "speed_kmh", "acceleration", "heading", "heading_change", "heading_deviation",
     "lateral_speed", "ttc_min", "gap_front", "gap_rear", "speed_diff_flow", "stop_duration",

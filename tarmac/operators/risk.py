@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators.textjoin import contains_join
 
+# fixed values: feature names
 FEATURES = [
     "volume", "avg_speed", "speed_std", "truck_ratio", "speed_change_rate", "volume_change_rate",
     "risk_score", "risk_score_ma3", "anomaly_count", "trigger_ttc_count", "trigger_decel_count",

@@ -80,37 +80,54 @@ def config_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
     return spark.createDataFrame(configs, CONFIG_SCHEMA)
 
 
-# fixed values: column aliases of knowledge bases, first present wins
-ALIASES = {
-    "chunk_text": ("chunk_text", "text", "content"), "chunk_id": ("chunk_id", "id"),
-    "keywords": ("keywords_json", "keywords"), "document_id": ("document_id", "doc_id")}
-VECTOR_NAMES = ("embedding_json", "embedding", "vector_json", "vector", "embedding_vector")
-MODEL_NAMES, CURRENT_NAMES = ("embedding_model", "model", "model_name"), ("is_current", "current", "active")
-
-
-def first_of(columns: list[str], names: tuple[str, ...]) -> str | None:
-    return next((n for n in names if n in columns), None)
+# fixed values: the parts columns play in a knowledge base: tables that may hold them, names they go by
+ROLES = {
+    "chunk_text": (("chunk",), ("chunk_text", "text", "content")),
+    "chunk_id": (("chunk",), ("chunk_id", "id")),
+    "keywords": (("chunk",), ("keywords_json", "keywords")),
+    "document_id": (("chunk",), ("document_id", "doc_id")),
+    "domain": (("chunk", "document"), ("domain",)),
+    "document_type": (("chunk", "document"), ("document_type",)),
+    "vector": (("table", "chunk"), ("embedding_json", "embedding", "vector_json", "vector", "embedding_vector")),
+    "model": (("table", "chunk"), ("embedding_model", "model", "model_name")),
+    "current": (("table",), ("is_current", "current", "active")),
+}
+
+
+def resolve(role: str, tables: dict[str, DataFrame]) -> tuple[str | None, str | None]:
+    """(table, column) of a role: the first table that has it, under the first of its names."""
+    places, names = ROLES[role]
+    found = ((t, n) for t in places if t in tables for n in names if n in tables[t].columns)
+    return next(found, (None, None))
 
 
 def probe(chunks: DataFrame, documents: DataFrame | None = None,
           embeddings: DataFrame | None = None) -> dict:
-    """Which column plays which part, and where the embeddings are."""
-    cols = chunks.columns
-    s = {k: first_of(cols, v) for k, v in ALIASES.items()}
+    """Which column plays which part, and where the embeddings are.
+
+    Documents count only if chunks name theirs. Vectors of a table of their own are joined by chunk id,
+    so they are off (`vectors_in` None) where chunks have no id or share one.
+    """
+    given = {"chunk": chunks, "document": documents, "table": embeddings}
+    tables = {k: v for k, v in given.items() if v is not None}
+    s = {role: resolve(role, tables)[1] for role in ("chunk_text", "chunk_id", "keywords", "document_id")}
+    if not s["document_id"]:
+        tables.pop("document", None)
+    s |= {role: resolve(role, tables)[0] for role in ("domain", "document_type")}
     s["usable"] = s["chunk_text"] is not None
-    for part in ("domain", "document_type"):
-        s[part] = "chunk" if part in cols else "document" if documents is not None and s["document_id"] \
-            and part in documents.columns else None
-    own = first_of(cols, VECTOR_NAMES)
-    far = first_of(embeddings.columns, VECTOR_NAMES) if embeddings is not None else None
-    s["vectors_in"] = "table" if far else "chunk" if own else None
-    s["vector"] = far or own
-    src = embeddings.columns if far else cols
-    s["model"] = first_of(src, MODEL_NAMES)
-    s["current"] = first_of(src, CURRENT_NAMES) if far else None
+    s["vectors_in"], s["vector"] = resolve("vector", tables)
+    beside = {s["vectors_in"]: tables[s["vectors_in"]]} if s["vectors_in"] else {"chunk": chunks}
+    s["model"], s["current"] = resolve("model", beside)[1], resolve("current", beside)[1]
+    if s["vectors_in"] == "table" and not unique(chunks, s["chunk_id"]):
+        s["vectors_in"] = None
     return s
 
 
+def unique(rows: DataFrame, column: str | None) -> bool:
+    """Whether a column is there and no value of it repeats."""
+    return column is not None and rows.groupBy(column).count().where("count > 1").isEmpty()
+
+
 def knowledge_rows(chunks: DataFrame, s: dict) -> DataFrame:
     """Chunks under their standard names."""
     from tarmac.functions.text import keywords
