@@ -63,6 +63,8 @@ def class_table() -> np.ndarray:
 def scan(f: np.ndarray, width: int = 64) -> np.ndarray:
     """The product of all functions up to each place, block-wise: inside blocks, over the blocks, both together."""
     n = len(f)
+    if n and int(f.max()) < QUOTE:  # constants only: each place is its own product
+        return f.copy()
     if n <= width:
         out = f.copy()
         for i in range(1, n):
@@ -83,13 +85,12 @@ def token_starts(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(cp)
     cls = class_table()[cp]
     cls[ends] = END
-    ahead = [np.concatenate([cp[k:], np.zeros(k, cp.dtype)]) for k in (1, 2)]
     tail = np.zeros(n, np.uint8)  # length of the contraction's letters, were this apostrophe to start one
     quotes = np.flatnonzero(cp == ord("'"))
     for s in SUFFIXES:
         ok = np.ones(len(quotes), bool)
-        for k, c in enumerate(s):
-            ok &= ahead[k][quotes] == ord(c)
+        for k, c in enumerate(s, 1):
+            ok &= cp[np.minimum(quotes + k, n - 1)] == ord(c)  # texts end with a separator, so none is mistaken
         tail[quotes[ok]] = len(s)
     f = _OF_CLASS[cls]
     f[tail > 0] = QUOTE
@@ -118,13 +119,17 @@ def slices(texts: list[str]) -> Iterator[list[bytes]]:
     cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     start = token_starts(cp, ends)
-    size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-    at = (np.cumsum(size) - size)[start]
-    data = joined.encode()
-    cuts = at.tolist() + [len(data)]
-    pieces = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    more = (cp >= 0x80).view(np.uint8) + (cp >= 0x800) + (cp >= 0x10000)  # bytes past the first
+    places = np.flatnonzero(start)
+    at = places + (np.cumsum(more, dtype=np.int64) - more)[places]
+    data = np.frombuffer(joined.encode(), np.uint8)
+    mark = np.zeros(len(data), np.int32)
+    mark[at] = 1
+    spaced = np.full(len(data) + len(at), 0xFF, np.uint8)  # a byte UTF-8 never has, before each slice
+    spaced[np.cumsum(mark, dtype=np.int32) + np.arange(len(data), dtype=np.int32)] = data
+    pieces = spaced.tobytes().split(b"\xff")[1:]
     a = 0
-    for m in np.searchsorted(np.flatnonzero(start), ends).tolist():
+    for m in np.searchsorted(places, ends).tolist():
         yield pieces[a:m]
         a = m + 1
 

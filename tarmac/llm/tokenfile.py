@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -125,36 +126,37 @@ class Reader:
 _NO_ID = -(2**63)
 
 
+def _byte_chars() -> str:
+    """The character for each byte: itself if it prints, else the next ones from U+0100 on, as byte-level BPE has it."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in shown]
+    return "".join(chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256))
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class Tokens:
     """Ids by a tokenizers file. Slices of the text are what its model sees: each distinct one is encoded once."""
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
         self.keep, self.known = keep, {}
-        self.line = self._ids("\n")
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
-        self.sliced = self.tool.normalizer is None and len(self.line) == 1 and "ByteLevel" in str(self.tool.pre_tokenizer)
+        self.sliced = self.tool.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tool.pre_tokenizer)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Joined by line ends, which stay tokens of their own, many slices are encoded in one call."""
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            plain = [p for p in part if not p.isspace() and not p.decode()[-1].isspace()]
-            ids = self._ids("\n".join(p.decode() for p in plain))
-            ends = np.flatnonzero(ids == self.line[0])
-            if len(ends) == len(plain) - 1:
-                bounds = [-1, *ends.tolist(), len(ids)]
-                self.known.update((p, ids[i + 1 : j].tobytes()) for p, i, j in zip(plain, bounds, bounds[1:]))
-            for p in part:
-                if p not in self.known:
-                    self.known[p] = self._ids(p.decode()).tobytes()
+        """The library's model merges each slice, given as the characters that stand for its bytes."""
+        merge = self.tool.model.tokenize
+        for p in new:
+            self.known[p] = array("I", [t.id for t in merge(p.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.sliced:
