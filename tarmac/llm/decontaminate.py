@@ -12,7 +12,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +34,52 @@ def features(h: np.ndarray) -> np.ndarray:
         return _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(h[1:]))
 
 
+_STEP = 0x9E3779B97F4A7C15
+_LOW = np.arange(1, 257, dtype=np.uint64)
+_LOW[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n (or more) powers of base, modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16), base, np.uint64)])
+    return _powers[base]
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word, A-Z lowered for the hash: differences of one running polynomial hash."""
+    a = np.frombuffer(text, np.uint8)
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    gap = np.r_[True, _BLANK[a], True]
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    run = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_LOW[a] * powers(_STEP, len(a))[: len(a)], out=run[1:])
+    return start, end, _mix((run[end] - run[start]) * powers(pow(_STEP, -1, 1 << 64), len(a))[start])
+
+
 def bits_of(x: np.ndarray) -> np.ndarray:
-    return np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.unpackbits(x.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(np.ascontiguousarray(bits).ravel(), bitorder="little").view("<u8")
+
+
+def running(bits: np.ndarray, kind: type, width: int = 61) -> np.ndarray:
+    """Counts of set bits before each row, modulo the kind's size: inside blocks, then over them."""
+    n = len(bits)
+    rows = n // width + 1
+    grid = np.zeros((rows * width, 64), kind)
+    grid[1 : n + 1] = bits
+    grid = np.ascontiguousarray(grid.reshape(rows, width, 64).transpose(1, 0, 2))
+    for i in range(1, width):
+        grid[i] += grid[i - 1]
+    grid[:, 1:] += np.cumsum(grid[-1], axis=0, dtype=kind)[None, :-1]
+    return grid.transpose(1, 0, 2).reshape(-1, 64)[: n + 1]
 
 
 def window_sizes(longest: int) -> list[int]:
@@ -87,7 +126,6 @@ class Index:
         for k, w in enumerate(self.words):
             groups.setdefault(min(sizes, key=lambda s: max(s, len(w)) / min(s, len(w))), []).append(k)
         self.classes = [self._class(s, at) for s, at in sorted(groups.items())]
-        self.known: dict[bytes, int] = _Hashes()
 
     def _class(self, size: int, at: list[int]) -> Items:
         fps = np.array([self._fingerprint(self.words[k]) for k in at], np.uint64)
@@ -101,9 +139,9 @@ class Index:
         return Items(size, at, fps, near)
 
     def _fingerprint(self, words: list[bytes]) -> int:
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        h = words_of(b" ".join(words))[2]
         if len(h) == 1:
-            return int(_mix(h)[0])
+            return int(h[0])
         f = bits_of(features(h))
         return int(packed((2 * f.sum(0, dtype=np.int64) > len(f))[None, :])[0])
 
@@ -121,28 +159,29 @@ class Index:
             cols.append(c)
         return (np.concatenate(rows), np.concatenate(cols)) if rows else (at, at)
 
-    def search(self, parts: list[tuple[int, int, list[bytes]]]) -> Iterable[tuple[int, int, float, int]]:
-        """(row, item, similarity, word) for parts (row, words before, words) that end where the row or a chunk ends."""
-        words = [w for _, _, ws in parts for w in ws]
-        n = len(words)
-        if not n or not self.classes:
+    def search(self, parts: list[tuple[int, int, bytes]]) -> Iterable[tuple[int, int, float, int]]:
+        """(row, item, similarity, word) for parts (row, words before, text)."""
+        if not self.classes:
+            return
+        data = b"\n".join(t for *_, t in parts)
+        begin, end, h = words_of(data)
+        n = len(h)
+        if not n:
             return
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, n)
-        sizes = np.array([len(ws) for _, _, ws in parts])
-        first = np.cumsum(sizes) - sizes
+        at = np.cumsum([len(t) + 1 for *_, t in parts])
+        last = np.searchsorted(begin, at)
+        first = np.r_[0, last[:-1]]
+        sizes = last - first
         part = np.repeat(np.arange(len(parts)), sizes)
-        left = (first + sizes)[part] - np.arange(n)  # words up to the end of the part
-        ones = np.zeros((n, 64), np.uint16)
-        np.cumsum(bits_of(features(h)), axis=0, dtype=np.uint16, out=ones[1:])
-        whole = np.array([i for i, s in enumerate(sizes) if 1 < s < self.classes[-1].size])
+        left = last[part] - np.arange(n)  # words up to the end of the part
+        ones = running(bits_of(features(h)), np.uint8 if self.classes[-1].size <= 256 else np.uint32)
+        whole = np.flatnonzero((sizes > 1) & (sizes < self.classes[-1].size))
         seen = set()
         for c in self.classes:
             s = c.size
             for a in range(0, n - s + 1, CHUNK):
                 b = min(a + CHUNK, n - s + 1)
-                fps = _mix(h[a:b]) if s == 1 else packed((ones[a + s - 1 : b + s - 1] - ones[a:b]) > (s - 1) // 2)
+                fps = h[a:b] if s == 1 else packed((ones[a + s - 1 : b + s - 1] - ones[a:b]) > (s - 1) // 2)
                 rows, cols = self._hits(c, fps, left[a:b] >= s)
                 seen.update((int(a + r), c.at[k]) for r, k in zip(rows.tolist(), cols.tolist(), strict=True))
             short = whole[(sizes[whole] < s) & (sizes[whole] >= LEAST * s)] if len(whole) else whole
@@ -158,16 +197,18 @@ class Index:
             slack = max(2, len(own) // 8)
             for start in range(max(lo, at - slack), min(at + slack, max(lo, hi - len(own))) + 1):
                 if (start, k) not in done:
-                    done[start, k] = similarity(self.shingles[k], shingles(words[start : min(hi, start + len(own))]))
+                    stop = min(hi, start + len(own))
+                    words = [data[i:j].lower() for i, j in zip(begin[start:stop].tolist(), end[start:stop].tolist(), strict=True)]
+                    done[start, k] = similarity(self.shingles[k], shingles(words))
         for (start, k), sim in done.items():
             if sim >= LEAST:
                 p = int(part[start])
                 yield parts[p][0], k, sim, parts[p][1] + start - int(first[p])
 
-    def run(self, rows: Iterable[bytes], budget: int = 1 << 16) -> list[list[dict]]:
+    def run(self, rows: Iterable[bytes], budget: int = 1 << 19) -> list[list[dict]]:
         """For each text the items in it: item, similarity (the best), word (where it starts)."""
         best: list[dict[int, tuple[float, int]]] = []
-        parts: list[tuple[int, int, list[bytes]]] = []
+        parts: list[tuple[int, int, bytes]] = []
         held = 0
         overlap = self.longest + max(2, self.longest // 8)
 
@@ -179,13 +220,15 @@ class Index:
 
         for i, text in enumerate(rows):
             best.append({})
-            before, tail = 0, []
-            for block in blocks(text, 1 << 19):
-                words = tail + block.lower().split()
-                parts.append((i, before, words))
-                held += len(words)
-                tail = words[-overlap:]
-                before += len(words) - len(tail)
+            before, tail = 0, b""
+            for block in blocks(text, budget):
+                block = tail + block
+                parts.append((i, before, block))
+                held += len(block)
+                if len(text) > budget:  # the next part repeats the last words of this one
+                    again = block.rsplit(None, overlap)[-overlap:]
+                    before += len(block.split()) - len(again)
+                    tail = b" ".join(again) + b" "
                 if held > budget:
                     flush()
                     held = 0
@@ -193,12 +236,6 @@ class Index:
         return [[{"item": self.ids[k], "similarity": s, "word": -w} for k, (s, w) in sorted(b.items())] for b in best]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
 HITS = "_hits array<struct<item: bigint, similarity: double, word: int>>"
 
 
