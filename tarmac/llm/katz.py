@@ -116,7 +116,7 @@ def _chunks(docs: DataFrame, tokens: int) -> DataFrame:
 
         def out():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            body = pack(np.concatenate(ids).astype(np.uint32), np.array(lens, np.int64), np.array(own, np.int64), np.array(null, bool), np.array(train, bool), hashes)
+            body = pack(np.concatenate(ids), np.array(lens, np.int64), np.array(own, np.int64), np.array(null, bool), np.array(train, bool), hashes)
             return pa.RecordBatch.from_pydict({"chunk": [(TaskContext.get().partitionId() << 20) + seq], "n": [held], "body": [body]},
                                               pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("body", pa.binary())]))
 
@@ -125,9 +125,9 @@ def _chunks(docs: DataFrame, tokens: int) -> DataFrame:
                 n = 0
                 for block in blocks(text):
                     w = block.lower().split()
-                    ids.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)) + 1)  # 0 is the end
+                    ids.append(np.fromiter(map(words.__getitem__, w), np.uint32, len(w)) + np.uint32(1))  # 0 is the end
                     n += len(w)
-                ids.append(np.zeros(1, np.int64))
+                ids.append(np.zeros(1, np.uint32))
                 lens.append(n + 1)
                 own.append(i or 0)
                 null.append(i is None)
@@ -341,7 +341,7 @@ def _weigh(batches):
         yield from bucket_out(now, held)
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1 << 22, bits: int = 6, folder: str | None = None) -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1 << 21, bits: int = 6, folder: str | None = None) -> DataFrame:
     """Katz bigram scores of all texts, learning from the rows where the Column `train` holds.
 
     Columns: id, held_out, n_tokens, n_known, train_tokens, base_score, score. A-Z are lowered; words are what
@@ -356,14 +356,15 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"))
-    chunks = stage(_chunks(own, chunk_tokens))
+    _chunks(own, chunk_tokens).write.parquet(f"{folder}/kind=chunks")
+    chunks = spark.read.schema("chunk long, n long, body binary").parquet(f"{folder}/kind=chunks")
     size = chunks.agg(F.sum("n")).first()[0] or 0
     bits = max(bits, min(20, (size >> 23).bit_length()))
     starts = own.where("_train").count()
     asked = chunks.select("chunk", "body").mapInArrow(_ask(bits), _DDL)
     found = asked.repartition("order", "bucket").sortWithinPartitions("order", "bucket", "chunk").mapInArrow(_answer, _DDL)
     kind = F.when(F.col("chunk") == -1, "counts").when(F.col("chunk") == -2, "stats").otherwise("answers")
-    found.withColumn("kind", kind).write.partitionBy("kind").parquet(folder)
+    found.withColumn("kind", kind).write.mode("append").partitionBy("kind").parquet(folder)
     _let_go(spark)
     read = lambda name: spark.read.schema(_DDL).parquet(f"{folder}/kind={name}") if size else spark.createDataFrame([], _DDL)
     stats = []
@@ -373,6 +374,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         stats.append((order, int(s[-2]), int(s[-1]), Level(s[: CUTOFF + 1].tolist())))
     answers = read("answers").groupBy("chunk").agg(F.collect_list(F.struct("order", "bucket", "payload")).alias("answers"))  # 2^(bits + 1) at most
     scored = stage(chunks.select("chunk", "body").join(answers, "chunk").mapInArrow(_evaluate(bits, starts, stats), _SCORED))
+    _drop(spark, f"{folder}/kind=chunks")  # what follows needs neither
+    _drop(spark, f"{folder}/kind=answers")
     _let_go(spark)
     asked = scored.where("payload IS NOT NULL").select("bucket", "chunk", "payload")
     weighed = stage(asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_weigh, "rid long, more double, bucket int, payload binary"))
@@ -384,6 +387,11 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _drop(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _let_go(spark) -> None:
     """Shuffle files go when the driver collects what referred to them; after a large step, do it now."""
     gc.collect()
