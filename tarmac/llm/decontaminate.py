@@ -2,7 +2,9 @@
 
 Every window of an item's size class is fingerprinted (a difference of running bit counts), looked up in
 the class's items and, if within the radius, verified by the weighted Jaccard similarity of five-word
-shingles between the item and the windows of its exact length around the place.
+shingles between the item and the windows of its exact length around the place. So that no class's size or
+radius loses a passage, windows around an exact shingle of an item are verified too: one that reaches 0.8
+holds one of any fifth of the item's shingles, so the rarest fifth (and one) of each item are looked up.
 """
 
 from __future__ import annotations
@@ -61,6 +63,15 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, _mix((run[end] - run[start]) * powers(pow(_STEP, -1, 1 << 64), len(a))[start])
 
 
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each `width` neighbouring words, from the words' hashes."""
+    n, out = max(0, len(h) - width + 1), np.uint64(0)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = _mix(out * np.uint64(_STEP) + h[i : i + n])
+    return out
+
+
 def bits_of(x: np.ndarray) -> np.ndarray:
     return np.unpackbits(x.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
 
@@ -126,6 +137,36 @@ class Index:
         for k, w in enumerate(self.words):
             groups.setdefault(min(sizes, key=lambda s: max(s, len(w)) / min(s, len(w))), []).append(k)
         self.classes = [self._class(s, at) for s, at in sorted(groups.items())]
+        self.keys = self._keys()
+
+    def _keys(self) -> list[tuple]:
+        """For each shingle width: hashes looked up, where their items start and end, the items, whether a hash can be one."""
+        found = [shingle_hashes(words_of(b" ".join(w))[2], min(SHINGLE, len(w))) for w in self.words]
+        often = Counter(h for f in found for h in set(f.tolist()))
+        by: dict[int, set[tuple[int, int]]] = {}
+        for k, f in enumerate(found):
+            rarest = sorted(f.tolist(), key=lambda h: (often[h], h))
+            by.setdefault(min(SHINGLE, len(self.words[k])), set()).update((h, k) for h in rarest[: len(f) // 5 + 1])
+        out = []
+        for width, rows in sorted(by.items()):
+            h, k = (np.array(c, t) for c, t in zip(zip(*sorted(rows), strict=True), (np.uint64, np.int64), strict=True))
+            own, start, n = np.unique(h, return_index=True, return_counts=True)
+            lut = np.zeros(1 << 20, bool)
+            lut[own >> np.uint64(44)] = True
+            out.append((width, own, start, start + n, k, lut))
+        return out
+
+    def _shared(self, h: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
+        """(place, item) where a looked-up shingle of the item stands."""
+        out = []
+        for width, own, start, stop, item, lut in self.keys:
+            for a in range(0, len(h) - width + 1, CHUNK):
+                g = shingle_hashes(h[a : a + CHUNK + width - 1], width)
+                at = np.flatnonzero(lut[g >> np.uint64(44)] & (left[a : a + len(g)] >= width))
+                i = np.minimum(np.searchsorted(own, g[at]), len(own) - 1)
+                ok = own[i] == g[at]
+                out += [(a + p, k) for p, j in zip(at[ok].tolist(), i[ok].tolist(), strict=True) for k in item[start[j] : stop[j]].tolist()]
+        return out
 
     def _class(self, size: int, at: list[int]) -> Items:
         fps = np.array([self._fingerprint(self.words[k]) for k in at], np.uint64)
@@ -200,6 +241,37 @@ class Index:
                     stop = min(hi, start + len(own))
                     words = [data[i:j].lower() for i, j in zip(begin[start:stop].tolist(), end[start:stop].tolist(), strict=True)]
                     done[start, k] = similarity(self.shingles[k], shingles(words))
+        near: dict[tuple[int, int], set[int]] = {}
+        for at, k in self._shared(h, left):
+            p = int(part[at])
+            lo, last_start = int(first[p]), max(int(first[p]), int(last[p]) - len(self.words[k]))
+            back = max(0, len(self.words[k]) - SHINGLE)
+            near.setdefault((p, k), set()).update(range(max(lo, min(at - back, last_start)), min(at, last_start) + 1))
+        for (p, k), starts in near.items():
+            own, hi = self.words[k], int(last[p])
+            whole, n = self.shingles[k].total(), min(SHINGLE, len(own))
+            words, known = {}, {}
+
+            def word(i):
+                if i not in words:
+                    words[i] = data[begin[i] : end[i]].lower()
+                return words[i]
+
+            def known_at(i):
+                if i not in known:
+                    known[i] = tuple(map(word, range(i, i + n))) in self.shingles[k]
+                return known[i]
+
+            before, count = None, 0
+            for start in sorted(starts):
+                stop = min(hi, start + len(own))
+                if before == start - 1 and stop == start + len(own):
+                    count += known_at(stop - n) - known_at(start - 1)
+                else:
+                    count = sum(map(known_at, range(start, stop - n + 1)))
+                before = start
+                if 5 * count >= 4 * whole and (start, k) not in done:
+                    done[start, k] = similarity(self.shingles[k], shingles(list(map(word, range(start, stop)))))
         for (start, k), sim in done.items():
             if sim >= LEAST:
                 p = int(part[start])
