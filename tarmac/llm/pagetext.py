@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import annotate, query, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^><\"']|\"[^\"]{0,99999}\"|'[^']{0,99999}')*+)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^><\"']|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 #: Fixed values of HTML: elements that end a block, that have no end tag, whose content is not text, that close an open p.
@@ -305,21 +305,45 @@ def fit(training: list[list[tuple[Leaf, bool]]], steps: int = 200, l2: float = 0
     return Crf({f: float(w[i]) for f, i in feats.items()}, move.tolist(), start.tolist(), stop.tolist())
 
 
-def learn(pages: DataFrame, html_col: str = "html", sample: int = 120, largest: int = 200_000) -> Crf | None:
-    """A CRF from a bounded sample: about `sample` pages of at most `largest` characters, drawn by a hash."""
-    rows = pages.where(F.length(html_col).between(1, largest)).select(F.col(html_col).alias("t"), F.xxhash64(html_col).alias("h"))
+_MARKED = r"(?i)<(article|main)[\s/>]"
+
+
+def learn(pages: DataFrame, html_col: str = "html", sample: int = 120, budget: int = 48_000_000) -> Crf | None:
+    """A CRF from a bounded sample of the pages that can be labelled: about `sample` with article or main mark-up.
+
+    They are drawn by a hash, whatever their length; `budget` bounds the characters that reach the driver. None
+    without pages; an error if there are pages, but none to learn from.
+    """
+    rows = pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("t"), F.xxhash64(html_col).alias("h"))
+    marked = rows.where(F.col("t").rlike(_MARKED))
+    if crf := fit(labelled(_drawn(marked, sample, budget))):
+        return crf
+    main = annotate(marked, "t", "_main boolean", lambda ts: [[any(map(weak_label, leaves(t.decode()))) for t in ts]], keep_text=True)
+    if crf := fit(labelled(_drawn(main.where("_main"), sample, budget))):  # what was drawn has the mark-up without text in it
+        return crf
+    if rows.isEmpty():
+        return None
+    raise ValueError(f"no page of at most {budget} characters has text in an article or main element: nothing to learn main text from")
+
+
+def _drawn(rows: DataFrame, sample: int, budget: int) -> list[str]:
     n = rows.agg(F.approx_count_distinct("h")).first()[0]
     if not n:
-        return None
-    some = rows.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).distinct()
-    return fit(labelled([r.t for r in sorted(some.collect(), key=lambda r: r.h)]))
+        return []
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30))
+    chosen = []
+    for r in some.groupBy("h").agg(F.max(F.length("t")).alias("n")).orderBy("h").collect():
+        if r.n <= budget:
+            chosen.append(r.h)
+            budget -= r.n
+    return [r.t for r in sorted(some.where(F.col("h").isin(chosen)).select("t", "h").distinct().collect(), key=lambda r: r.h)]
 
 
 def extract(pages: DataFrame, crf: Crf | None, html_col: str = "html") -> DataFrame:
     """`pages` (html left out) with _text: the main blocks joined by an empty line.
 
     White space in a block is one space, character references are decoded, nothing else changes. A null,
-    empty or blockless page, and every page if no CRF was learned, has an empty text. Repeated pages get equal
+    empty or blockless page has an empty text (and every page without a CRF). Repeated pages get equal
     texts; other columns stay.
     """
     sent = pages.sparkSession.sparkContext.broadcast(crf)  # a weight for each feature of the sample
