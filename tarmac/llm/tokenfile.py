@@ -10,6 +10,7 @@ only the frames they need.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -137,17 +138,24 @@ BYTE_CHARS = _byte_chars()
 
 
 class Tokens:
-    """Ids by a tokenizers file. Slices of the text are what its model sees: each distinct one is encoded once."""
+    """Ids by a tokenizers file. Slices of the text are what its model sees: each distinct one is encoded once.
 
-    def __init__(self, path: str, keep: int = 1_000_000) -> None:
+    With `added`, the file's added tokens are found in texts as the library does by default; else they are text.
+    """
+
+    def __init__(self, path: str, keep: int = 1_000_000, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        self.tool.encode_special_tokens = not added
         self.keep, self.known = keep, {}
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
-        self.sliced = self.tool.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tool.pre_tokenizer)
+        known = self.tool.get_added_tokens_decoder() if added else {}
+        plain = not any(t.single_word or t.lstrip or t.rstrip for t in known.values())
+        self.added = {t.content: np.array([i], np.uint32) for i, t in known.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
+        self.sliced = plain and self.tool.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tool.pre_tokenizer)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -161,6 +169,24 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.sliced:
             return [self._ids(t) for t in texts]
+        if self.split and any(a in t for a in self.added for t in texts):
+            own = [self.split(t) for t in texts]
+            found = iter(self._encode([x for parts in own for x in parts[::2]]))
+            return [np.concatenate([self.added[x] if k % 2 else next(found) for k, x in enumerate(parts)]) for parts in own]
+        return self._encode(texts)
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """A long text piece by piece, cut outside of added tokens; whole if the library is to encode it."""
+        if not self.sliced:
+            return self._ids(text)
+        parts = self.split(text) if self.split else [text]
+        return np.concatenate([x for k, t in enumerate(parts) for x in ([self.added[t]] if k % 2 else self._encode_cut(t))])
+
+    def _encode_cut(self, text: str) -> Iterator[np.ndarray]:
+        for piece in cut(text):
+            yield from self._encode([piece])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.keep:
             self.known.clear()
         own = list(slices(texts))
@@ -185,7 +211,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
 
     def run(batches):
         if name not in _tokens:
-            _tokens[name] = Tokens(SparkFiles.get(name))
+            _tokens[name] = Tokens(SparkFiles.get(name), added=True)
         tool, task = _tokens[name], TaskContext.get()
         file = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
         out = writer = None
@@ -196,7 +222,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
                     out = fs.open_output_stream(path, compression=None)
                     writer = Writer(out, tool.width, frame_ids)
                 long = len(texts[0]) > _LONG
-                found = [np.concatenate(tool.encode(list(cut(texts[0]))))] if long else tool.encode(texts)
+                found = [tool.encode_long(texts[0])] if long else tool.encode(texts)
                 for i, x in zip(ids, found, strict=True):
                     writer.add(i, np.append(x, np.uint32(end_id)))
         if writer is not None:
