@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.operators import folds
+from tarmac.operators import asof, folds
 from tarmac.operators import sequence as seq
 from tarmac.operators.geojoin import nearest, radius_join
 from tarmac.operators.textjoin import contains_join
@@ -18,6 +18,8 @@ from tarmac.session import cut_lineage, stage
 MATCH_KM, VERIFY_KM, GROUP_KM = 5.0, 10.0, 5.0
 GROUP_SEC, HOLD_SEC = 180.0, 600.0
 SEVERITY_PENDING, SEVERITY_KEEP, RECHECKS = 0.7, 0.8, 3
+RECHECK_SEC, VERIFY_DELAY = 600.0, 60.0
+FEED_FRESH, FEED_SLOT = 1800.0, 3600  # how old a poll may be to count; the slots that polls are dealt by
 REACT_CAMERAS = 3
 PATROL_PER_INCIDENT, PATROL_PER_CYCLE = 2, 20
 
@@ -58,30 +60,91 @@ def choose_camera(requests: DataFrame, cameras: DataFrame) -> DataFrame:
         "cctv_id", F.coalesce("_known", "_near", "_first")).drop("_known", "_near", "_first")
 
 
-def first_in_feed(cameras: DataFrame, incidents: DataFrame, km: float = VERIFY_KM) -> DataFrame:
-    """The first incident in feed order near each camera. Places, not rows, are joined: incidents
-    are reduced to the earliest per place first."""
-    place = incidents.groupBy("lat", "lon").agg(
-        F.min_by(F.struct("event_id", "feed_pos"), "feed_pos").alias("_i"))
-    near = radius_join(place, sites(cameras), km)
-    return near.groupBy("cctv_id").agg(
-        F.min_by(F.struct(F.col("_i.event_id").alias("event_id"), "distance_km"),
-                 "_i.feed_pos").alias("_m")).select(
-        "cctv_id", F.col("_m.event_id").alias("incident_id"),
-        F.col("_m.distance_km").alias("match_km"))
-
-
-def verify(triggers: DataFrame, cameras: DataFrame, incidents: DataFrame,
-           feed_ok: str = "feed_ok", km: float = VERIFY_KM) -> DataFrame:
-    """confirmed / not_confirmed / uncertain; a feed that failed never means "no incident"."""
-    m = first_in_feed(cameras, incidents, km).withColumnRenamed("cctv_id", "camera_id")
-    t = triggers.join(m, "camera_id", "left")
-    ok = F.coalesce(F.col(feed_ok), F.lit(False))
-    out = F.when(~ok, "uncertain").when(F.col("incident_id").isNotNull(), "confirmed").otherwise(
-        "not_confirmed")
-    return (t.withColumn("outcome", out)
-            .withColumn("incident_id", F.when(ok, F.col("incident_id")))
-            .withColumn("match_km", F.when(ok, F.col("match_km"))))
+def listed_near(incidents: DataFrame, cameras: DataFrame, km: float = VERIFY_KM) -> DataFrame:
+    """camera_id, incident_id, feed_pos, match_km, listed_from, listed_until: what the feed lists near each camera, and when.
+
+    Places, not rows, are joined in space; incidents then meet the cameras of their place.
+    """
+    place = radius_join(incidents.select("lat", "lon").distinct(), sites(cameras), km).select(
+        "lat", "lon", F.col("cctv_id").alias("camera_id"), F.col("distance_km").alias("match_km"))
+    return incidents.join(place, ["lat", "lon"]).select(
+        "camera_id", F.col("event_id").alias("incident_id"), "feed_pos", "match_km", "listed_from", "listed_until")
+
+
+def first_listed(checks: DataFrame, listed: DataFrame, width: float = 21_600.0) -> DataFrame:
+    """(camera_id, poll_ts) of `checks` with the first incident in feed order that was listed near the camera at that poll.
+
+    An interval is filed under the time slots it touches, so the join is an equi-join on camera and slot.
+    """
+    slot = lambda c: F.floor(F.unix_micros(c) / int(width * 1e6))
+    filed = listed.where("listed_from < listed_until").withColumn("_slot", F.explode(F.sequence(slot("listed_from"), slot("listed_until"))))
+    met = checks.select("camera_id", "poll_ts").distinct().withColumn("_slot", slot("poll_ts")).join(filed, ["camera_id", "_slot"])
+    met = met.where((F.col("listed_from") <= F.col("poll_ts")) & (F.col("poll_ts") < F.col("listed_until")))
+    return met.groupBy("camera_id", "poll_ts").agg(
+        F.min_by(F.struct("incident_id", "match_km"), F.struct("feed_pos", "incident_id")).alias("_m")).select("camera_id", "poll_ts", "_m.*")
+
+
+def verify(triggers: DataFrame, cameras: DataFrame, polls: DataFrame, incidents: DataFrame,
+           ts: str = "ts", km: float = VERIFY_KM, width: float = 3600.0) -> DataFrame:
+    """confirmed / not_confirmed / uncertain for each trigger, by the feed's poll that was current at its time.
+
+    `polls` have poll_ts and feed_ok, `incidents` event_id, lat, lon, feed_pos and the time they were listed,
+    [listed_from, listed_until). A trigger before any poll, or whose poll failed, is uncertain: that never means
+    "no incident". What a later poll lists confirms nothing. Adds poll_ts, outcome, incident_id, match_km.
+    """
+    t = asof.last_before(triggers, polls, ts, "poll_ts", ["feed_ok"], width=width)
+    ok = F.coalesce(F.col("feed_ok"), F.lit(False))
+    found = first_listed(t.where(ok), listed_near(incidents, cameras, km))
+    out = t.join(found, ["camera_id", "poll_ts"], "left")
+    return out.withColumn("outcome", F.when(~ok, "uncertain").when(F.col("incident_id").isNotNull(), "confirmed").otherwise("not_confirmed")).drop("feed_ok")
+
+
+def feed_rows(polls: DataFrame, listed: DataFrame, slot_sec: int = FEED_SLOT) -> DataFrame:
+    """The feed as rows for recordings to meet: key, seen_ts, feed_ok, hit.
+
+    Each poll gives a row under its time slot ("feed" rows); each incident listed near a camera one under the camera
+    for every successful poll that lists it.
+    """
+    status = polls.select(_slot_key(F.unix_seconds("poll_ts"), slot_sec).alias("key"), F.col("poll_ts").alias("seen_ts"), "feed_ok", F.lit(False).alias("hit"))
+    width = 21_600
+    slot = lambda c: F.floor(F.unix_seconds(c) / width)
+    filed = listed.where("listed_from < listed_until").withColumn("_slot", F.explode(F.sequence(slot("listed_from"), slot("listed_until"))))
+    seen = polls.where("feed_ok").withColumn("_slot", slot("poll_ts")).join(filed, "_slot").where("listed_from <= poll_ts AND poll_ts < listed_until")
+    seen = seen.select(F.concat(F.lit("camera:"), "camera_id").alias("key"), F.col("poll_ts").alias("seen_ts"), F.lit(True).alias("feed_ok"), F.lit(True).alias("hit"))
+    return status.union(seen.distinct())
+
+
+def _slot_key(seconds: Column, slot_sec: int) -> Column:
+    return F.concat(F.lit("feed:"), F.floor(seconds / slot_sec))
+
+
+def recording_outcomes(recordings: DataFrame, feed: DataFrame, fresh: float = FEED_FRESH, delay: float = VERIFY_DELAY, every: float = RECHECK_SEC,
+                       slot_sec: int = FEED_SLOT) -> DataFrame:
+    """action (confirmed / pending_preserved / deleted) of each recording; the same for tables and for streams.
+
+    `recordings` have camera_id, event_id, severity and end_ts; `feed` is made by `feed_rows`. A recording is checked
+    `delay` after its end and, while pending, RECHECKS times more, `every` seconds apart. The poll of a check is the latest
+    at most `fresh` seconds old; without one, or if it failed, the check is uncertain. As streams, both sides need a
+    watermark; a recording comes out when the watermarks have passed its last check, with or without a match.
+    """
+    last = delay + RECHECKS * every
+    end = F.unix_micros("end_ts") / 1e6
+    slots = F.sequence(F.floor((end + delay - fresh) / slot_sec), F.floor((end + last) / slot_sec))
+    keys = F.concat(F.array(F.concat(F.lit("camera:"), "camera_id")), F.transform(slots, lambda s: F.concat(F.lit("feed:"), s)))
+    r = recordings.select("camera_id", "event_id", "severity", "end_ts", F.explode(keys).alias("rec_key"))
+    span = lambda s: F.expr(f"INTERVAL {int(s * 1e6)} MICROSECONDS")
+    met = r.join(feed, (F.col("rec_key") == F.col("key")) & (F.col("seen_ts") >= F.col("end_ts") + span(delay - fresh)) & (F.col("seen_ts") <= F.col("end_ts") + span(last)), "leftOuter")
+    aggs = []
+    for k in range(RECHECKS + 1):
+        at = F.col("end_ts") + span(delay + k * every)
+        inside = (F.col("seen_ts") >= at - span(fresh)) & (F.col("seen_ts") <= at)
+        aggs += [F.max(F.when(inside & ~F.col("hit"), F.struct("seen_ts", "feed_ok"))).alias(f"_poll{k}"), F.max(F.when(inside & F.col("hit"), F.col("seen_ts"))).alias(f"_hit{k}")]
+    per = met.groupBy("camera_id", "event_id", "severity", "end_ts").agg(*aggs)
+    ok = [F.coalesce(F.col(f"_poll{k}.feed_ok"), F.lit(False)) for k in range(RECHECKS + 1)]
+    seen = [ok[k] & F.coalesce(F.col(f"_hit{k}") == F.col(f"_poll{k}.seen_ts"), F.lit(False)) for k in range(RECHECKS + 1)]
+    first = F.coalesce(*(F.when(s, F.lit(k)) for k, s in enumerate(seen)))
+    return per.select("camera_id", "event_id", "end_ts", F.coalesce(first, F.lit(-1)).alias("first_check"), (~ok[0]).alias("uncertain"),
+                      retention(F.col("severity"), first, ~ok[0]).alias("action"))
 
 
 def retention(severity: Column, first_check: Column, uncertain: Column) -> Column:

@@ -56,28 +56,26 @@ def nearest_within(spark, sf):
     return n.where(F.col("distance_km") <= I.MATCH_KM).select("event_id", "cctv_id", r6("distance_km"))
 
 
-def feed_ok():
-    return (F.dayofmonth("ts") % 7) != 0
-
-
-SQL_VERIFY = S.SQL_TRIG + f""", {S.SQL_CAM}, {S.SQL_INC},
-nr AS (SELECT cctv_id, arg_min(event_id, feed_pos) AS incident_id, arg_min({KM}, feed_pos) AS match_km,
-              min(feed_pos) AS pos FROM inc i, cam c WHERE {KM} <= 10 GROUP BY 1),
-ve AS (SELECT t.*, day(ts) % 7 <> 0 AS feed_ok, incident_id, match_km
-       FROM trig t LEFT JOIN nr ON t.camera_id = nr.cctv_id)"""
+SQL_VERIFY = S.SQL_TRIG + f""", {S.SQL_CAM}, {S.SQL_INC}, {S.SQL_POLLS}, {S.SQL_LISTED},
+near AS (SELECT c.cctv_id, i.event_id AS incident_id, i.feed_pos, i.listed_from, i.listed_until, {KM} AS match_km
+         FROM li i, cam c WHERE {KM} <= 10),
+cp AS (SELECT DISTINCT cctv_id, poll_ts, arg_min(incident_id, feed_pos) AS incident_id, arg_min(match_km, feed_pos) AS match_km
+       FROM near JOIN po ON feed_ok AND listed_from <= poll_ts AND poll_ts < listed_until GROUP BY 1, 2),
+tp AS (SELECT t.*, poll_ts, coalesce(feed_ok, false) AS feed_ok FROM trig t ASOF LEFT JOIN po ON t.ts >= po.poll_ts)"""
 
 
 @query("incident_verify", f"""
 WITH {SQL_VERIFY}
-SELECT event_id, camera_id,
+SELECT event_id, camera_id, epoch_us(tp.poll_ts) AS poll_us,
        CASE WHEN NOT feed_ok THEN 'uncertain' WHEN incident_id IS NOT NULL THEN 'confirmed'
             ELSE 'not_confirmed' END AS outcome,
        CASE WHEN feed_ok THEN incident_id END AS incident_id,
-       CASE WHEN feed_ok THEN round(match_km, 6) END AS match_km FROM ve""")
+       CASE WHEN feed_ok THEN round(match_km, 6) END AS match_km
+FROM tp LEFT JOIN cp ON tp.camera_id = cp.cctv_id AND tp.poll_ts = cp.poll_ts""")
 def incident_verify(spark, sf):
-    t = S.triggers(spark, sf).withColumn("feed_ok", feed_ok())
-    v = I.verify(t, S.cameras(spark, sf), S.incidents(spark, sf).drop("event_type"))
-    return v.select("event_id", "camera_id", "outcome", "incident_id", r6("match_km"))
+    """Every trigger against what the feed listed at its last poll before."""
+    v = I.verify(S.triggers(spark, sf), S.cameras(spark, sf), S.polls(spark, sf), S.listed_incidents(spark, sf))
+    return v.select("event_id", "camera_id", F.unix_micros("poll_ts").alias("poll_us"), "outcome", "incident_id", r6("match_km"))
 
 
 @query("incident_groups")
@@ -258,23 +256,38 @@ def hotspot_quota(spark, sf):
         I.hotspot_quota(F.nullif("total", F.lit(0)), 50, 3)))
 
 
-@query("collection_outcomes", f"""
-WITH {S.SQL_TRIG}, {S.SQL_CAM}, {S.SQL_INC},
-nr AS (SELECT cctv_id, min(event_id % 4) AS first_check FROM inc i, cam c
-       WHERE {KM} <= 10 AND event_type = 'P' GROUP BY 1),
-a AS (SELECT t.camera_id, day(ts) % 7 = 0 AS u, severity, first_check
-      FROM trig t LEFT JOIN nr ON t.camera_id = nr.cctv_id)
-SELECT camera_id, CASE WHEN first_check = 0 AND NOT u THEN 'confirmed'
+def checks_sql(k):
+    """Of recording r: what the latest poll in the half hour before its check k says, and whether it lists something near."""
+    at = f"r.end_ts + INTERVAL {int(I.VERIFY_DELAY + k * I.RECHECK_SEC)} SECONDS"
+    return f"""k{k} AS (SELECT r.event_id, coalesce(p.feed_ok, false) AS ok, coalesce(p.feed_ok, false) AND c.cctv_id IS NOT NULL AS seen
+      FROM (SELECT *, {at} AS at FROM re r) r ASOF LEFT JOIN (SELECT poll_ts, feed_ok FROM po) p ON r.at >= p.poll_ts
+      LEFT JOIN cp c ON c.cctv_id = r.camera_id AND c.poll_ts = p.poll_ts WHERE p.poll_ts >= r.at - INTERVAL 1800 SECONDS)"""
+
+
+SQL_OUTCOMES = SQL_VERIFY + f""",
+re AS (SELECT camera_id, event_id, severity, ts AS end_ts FROM trig), {', '.join(checks_sql(k) for k in range(I.RECHECKS + 1))},
+fc AS (SELECT r.camera_id, r.event_id, r.severity, CASE WHEN k0.seen THEN 0 WHEN k1.seen THEN 1 WHEN k2.seen THEN 2 WHEN k3.seen THEN 3 END AS first_check,
+              NOT coalesce(k0.ok, false) AS u
+       FROM re r LEFT JOIN k0 USING (event_id) LEFT JOIN k1 USING (event_id) LEFT JOIN k2 USING (event_id) LEFT JOIN k3 USING (event_id)),
+oc AS (SELECT camera_id, event_id, coalesce(first_check, -1) AS first_check, u AS uncertain, CASE WHEN first_check = 0 AND NOT u THEN 'confirmed'
     WHEN (severity >= 0.7 OR u) AND first_check BETWEEN 1 AND 3 THEN 'confirmed'
     WHEN (severity >= 0.7 OR u) AND (severity >= 0.8 OR u) THEN 'pending_preserved'
-    ELSE 'deleted' END AS action, count(*) AS n FROM a GROUP BY 1, 2""")
-def collection_outcomes(spark, sf):
-    place = S.incidents(spark, sf).where("event_type = 'P'").groupBy("lat", "lon").agg(
-        F.min(F.col("event_id") % 4).alias("check"))
-    near = I.radius_join(place, I.sites(S.cameras(spark, sf)), I.VERIFY_KM)
-    first = near.groupBy(F.col("cctv_id").alias("camera_id")).agg(F.min("check").alias("first_check"))
-    t = S.triggers(spark, sf).join(first, "camera_id", "left")
-    action = I.retention(F.col("severity"), F.col("first_check"), ~feed_ok())
-    return t.groupBy("camera_id", action.alias("action")).agg(F.count("*").alias("n"))
+    ELSE 'deleted' END AS action FROM fc)"""
 
 
+def recordings(spark, sf):
+    return S.triggers(spark, sf).select("camera_id", "event_id", "severity", F.col("ts").alias("end_ts"))
+
+
+def feed(spark, sf):
+    near = I.listed_near(S.listed_incidents(spark, sf), S.cameras(spark, sf))
+    return I.feed_rows(S.polls(spark, sf), near)
+
+
+@query("collection_outcomes", f"""
+WITH {SQL_OUTCOMES}
+SELECT camera_id, action, count(*) AS n FROM oc GROUP BY 1, 2""")
+def collection_outcomes(spark, sf):
+    """What became of the recordings of each camera, by the polls current at their checks."""
+    r = I.recording_outcomes(recordings(spark, sf), feed(spark, sf))
+    return r.groupBy("camera_id", "action").agg(F.count("*").alias("n"))

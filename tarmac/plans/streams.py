@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.operators import episodes, incidents, motion, triggers
+from tarmac.plans import places
 from tarmac.plans.events import SQL_EPISODES
 from tarmac.plans.registry import query
 from tarmac.plans.traffic import PERIOD, SQL_FLOW, SQL_MOTION, r6
@@ -90,6 +91,17 @@ def episode_stream(spark, sf):
     return runs.drain(s).drop("seconds")
 
 
+@query("retention_stream", f"""
+WITH {places.SQL_OUTCOMES}
+SELECT camera_id, event_id, first_check, uncertain, action FROM oc""")
+def retention_stream(spark, sf):
+    """Verify-then-retain: recordings and the feed as two streams, outer-joined in time; each is decided when its last check is over."""
+    r = runs.shuffled_stream(stage(places.recordings(spark, sf)), "end_ts", late=300.0, beat="1 day")
+    f = runs.shuffled_stream(stage(places.feed(spark, sf)), "seen_ts", late=300.0, beat="1 day")
+    out = incidents.recording_outcomes(r.withWatermark("end_ts", runs.FEED_DELAY), f.withWatermark("seen_ts", runs.FEED_DELAY))
+    return runs.drain(out).where("event_id IS NOT NULL").drop("end_ts")
+
+
 @query("group_stream")
 def group_stream(spark, sf):
     """Incident grouping as a stream keyed by camera area."""

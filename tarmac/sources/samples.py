@@ -153,6 +153,27 @@ inc AS (
   FROM orders)"""
 
 
+def polls(spark, sf_dir) -> DataFrame:
+    """The feed's polls: one for each sign-up, failed where k is divisible by seven."""
+    return ev(spark, sf_dir).where("event_type = 'signup'").select(
+        F.col("ts").alias("poll_ts"), F.coalesce(F.col("k") % 7 != 0, F.lit(False)).alias("feed_ok"))
+
+
+SQL_POLLS = """
+po AS (SELECT ts AS poll_ts, coalesce(k % 7 <> 0, false) AS feed_ok FROM ev WHERE event_type = 'signup')"""
+
+
+def listed_incidents(spark, sf_dir) -> DataFrame:
+    """Incidents with the hours in which the feed lists them."""
+    at = F.lit(EPOCH_2024) + F.col("event_id") * 7919 % 2_592_000
+    return incidents(spark, sf_dir).withColumn("listed_from", F.timestamp_seconds(at)).withColumn("listed_until", F.timestamp_seconds(at + 7200))
+
+
+SQL_LISTED = f"""
+li AS (SELECT *, make_timestamp(({EPOCH_2024} + event_id * 7919 % 2592000) * 1000000) AS listed_from,
+              make_timestamp(({EPOCH_2024} + event_id * 7919 % 2592000 + 7200) * 1000000) AS listed_until FROM inc)"""
+
+
 def accidents(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarmac.operators import episodes, flow
-from tarmac.session import shared_dir
+from tarmac.session import shared_dir, stage
 
 FRAME_DELAY, FEED_DELAY = "10 seconds", "10 minutes"
 
@@ -63,6 +63,30 @@ def as_stream(df: DataFrame, order: str, parts: int = 3, beat: str | None = None
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def shuffled_stream(df: DataFrame, order: str, parts: int = 3, late: float = 0.0, beat: str | None = None, files: int = 4) -> DataFrame:
+    """A table as a file stream of about `parts` micro-batches by the time column `order`, `files` files each.
+
+    Rows are held back by up to `late` seconds (by a hash of the row), so that they arrive out of order and across
+    batches as a feed's do. With `beat` a last batch has one row, empty but for a time so long after the others.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    seconds = F.unix_micros(order) / 1e6
+    arrival = seconds + F.pmod(F.xxhash64(*df.columns), F.lit(1000)) / 1000 * late
+    lo, hi = df.agg(F.min(seconds), F.max(seconds)).first()
+    width = ((hi or 0) + late - (lo or 0)) / parts + 1e-6
+    n = df.withColumn("_batch", F.floor((arrival - (lo or 0)) / width).cast("int"))
+    if beat:
+        # an inner or outer join drops rows without a key before they can move the watermark, so texts are empty, not null
+        rest = [F.lit("" if f.dataType == T.StringType() else None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != order]
+        last = df.agg((F.max(order) + F.expr(f"INTERVAL {beat}")).alias(order)).select(order, *rest).select(*df.columns)
+        n = n.union(last.withColumn("_batch", F.lit(parts)))
+    n = stage(n)
+    for k in range(parts + bool(beat)):
+        n.where(F.col("_batch") == k).drop("_batch").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def traffic_flow(stream: DataFrame, seconds: int, delay: str = FEED_DELAY) -> DataFrame:
     """Interval flow: first sighting per track and window, then the window's totals (append)."""
     w = F.window("ts", f"{seconds} seconds")
