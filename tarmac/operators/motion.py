@@ -123,12 +123,17 @@ def same_lane(a: str, b: str):
     return (width > 0) & (over / width > LANE_OVERLAP)
 
 
-def pair_ttc_expr(a: str, b: str):
-    """Seconds to contact from the last two positions of two tracks; null when not closing."""
+def pair_ttc_expr(a: str, b: str, on_road=None):
+    """Seconds to contact from the last two positions of two tracks; null when not closing.
+
+    Where the boolean `on_road` holds, positions are those of the road plane (wx, wy, pwx, pwy).
+    """
     def d(x, y):
         return hypot(F.col(f"{b}.{x}") - F.col(f"{a}.{x}"), F.col(f"{b}.{y}") - F.col(f"{a}.{y}"))
 
     before, now = d("pcx", "pcy"), d("cx", "cy")
+    if on_road is not None:
+        before, now = F.when(on_road, d("pwx", "pwy")).otherwise(before), F.when(on_road, d("wx", "wy")).otherwise(now)
     dt = ((F.col(f"{a}.t") - F.col(f"{a}.pt")) + (F.col(f"{b}.t") - F.col(f"{b}.pt"))) / 2
     closing = (before - now) / dt
     return F.when(dt <= 0, None).when(closing <= 0, None).when(now <= 0, F.lit(0.0)).otherwise(
@@ -139,9 +144,31 @@ _PAIR_COLS = ["camera_id", "frame_idx", "track_id", "cx", "cy", "pcx", "pcy", "t
               "w"]
 
 
-def pair_ttc(m: DataFrame, lane_filter: bool = True) -> DataFrame:
-    """Closing pairs of one frame, a < b. Only pairs that pass the lane test leave the join."""
+def on_plane(m: DataFrame, planes: DataFrame) -> DataFrame:
+    """`m` with its two last positions on the road plane of its camera and `calibrated`, whether it has one.
+
+    `planes` has a row for each calibrated camera: camera_id, h (array of nine doubles, row by row) and scale (metres a
+    pixel, for points near the horizon). Cameras without a row or without a matrix are not calibrated.
+    """
+    from tarmac.functions.geo import project
+
+    p = planes.where("h IS NOT NULL").groupBy("camera_id").agg(F.min(F.struct("h", F.coalesce("scale", F.lit(METRES_PER_PIXEL)).alias("scale"))).alias("_plane"))
+    out = m.join(p, "camera_id", "left")
+    at = lambda x, y: project(F.col(x), F.col(y), F.col("_plane.h"), F.col("_plane.scale"))
+    out = out.withColumn("calibrated", F.col("_plane").isNotNull()).withColumn("_now", at("cx", "cy")).withColumn("_then", at("pcx", "pcy"))
+    return out.select(*m.columns, "calibrated", F.col("_now.x").alias("wx"), F.col("_now.y").alias("wy"),
+                      F.col("_then.x").alias("pwx"), F.col("_then.y").alias("pwy"))
+
+
+def pair_ttc(m: DataFrame, lane_filter: bool = True, planes: DataFrame | None = None) -> DataFrame:
+    """Closing pairs of one frame, a < b. Only pairs that pass the lane test leave the join.
+
+    With `planes` (see `on_plane`) pairs of calibrated cameras are measured in metres on the road, which perspective
+    does not distort; the lane test stays one of pixels. Adds `calibrated` then.
+    """
     s = m.select(*_PAIR_COLS).where(F.col("pt").isNotNull())
+    if planes is not None:
+        s = on_plane(s, planes)
     on = (
         (F.col("a.camera_id") == F.col("b.camera_id"))
         & (F.col("a.frame_idx") == F.col("b.frame_idx"))
@@ -149,10 +176,11 @@ def pair_ttc(m: DataFrame, lane_filter: bool = True) -> DataFrame:
     )
     if lane_filter:
         on = on & same_lane("a", "b")
+    road = F.col("a.calibrated") if planes is not None else None
     return (
         s.alias("a").join(s.alias("b"), on)
         .select("a.camera_id", "a.frame_idx", F.col("a.track_id").alias("track_a"),
-                F.col("b.track_id").alias("track_b"), pair_ttc_expr("a", "b").alias("ttc"))
+                F.col("b.track_id").alias("track_b"), pair_ttc_expr("a", "b", road).alias("ttc"), *([road.alias("calibrated")] if planes is not None else []))
         .where("ttc is not null")
     )
 

@@ -114,6 +114,37 @@ def pair_ttc(spark, sf):
     return p.select("camera_id", "frame_idx", "track_a", "track_b", r6("ttc")).orderBy("ttc")
 
 
+def planes(spark, sf):
+    """A matrix for two of three cameras, taken from the suppliers of their numbers."""
+    s = S.cameras(spark, sf).where("cctv_id % 3 <> 0")
+    c = F.col("cctv_id").cast("double")
+    h = F.array(0.05 + c * 0.001, F.lit(0.001), c * 0.1, F.lit(0.0), F.lit(0.06), F.lit(0.0), F.lit(0.0), F.lit(0.0002), F.lit(1.0))
+    return s.select(F.col("cctv_id").alias("camera_id"), h.alias("h"), F.lit(0.05).alias("scale"))
+
+
+def _plane_sql(x, y):
+    deep = f"(0.0002 * {y} + 1.0)"
+    return f"((0.05 + c * 0.001) * {x} + 0.001 * {y} + c * 0.1) / {deep}", f"(0.06 * {y}) / {deep}"
+
+
+@query("pair_ttc_world", f"""
+WITH {SQL_FEATURES}, {S.SQL_CAM},
+pl AS (SELECT m.*, c, {_plane_sql('cx', 'cy')[0]} AS wx, {_plane_sql('cx', 'cy')[1]} AS wy, {_plane_sql('pcx', 'pcy')[0]} AS pwx, {_plane_sql('pcx', 'pcy')[1]} AS pwy
+       FROM motion m LEFT JOIN (SELECT cctv_id, cctv_id::DOUBLE AS c FROM cam WHERE cctv_id % 3 <> 0) k ON k.cctv_id = m.camera_id WHERE pt IS NOT NULL),
+pw AS (SELECT a.camera_id, a.frame_idx, a.track_id AS track_a, b.track_id AS track_b, a.c IS NOT NULL AS calibrated,
+         CASE WHEN a.c IS NULL THEN sqrt(pow(b.pcx - a.pcx, 2) + pow(b.pcy - a.pcy, 2)) ELSE sqrt(pow(b.pwx - a.pwx, 2) + pow(b.pwy - a.pwy, 2)) END AS d0,
+         CASE WHEN a.c IS NULL THEN sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) ELSE sqrt(pow(b.wx - a.wx, 2) + pow(b.wy - a.wy, 2)) END AS d1,
+         ((a.t - a.pt) + (b.t - b.pt)) / 2 AS dt
+       FROM pl a JOIN pl b ON a.camera_id = b.camera_id AND a.frame_idx = b.frame_idx AND a.track_id < b.track_id
+       WHERE least(a.w, b.w) > 0 AND greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / least(a.w, b.w) > 0.3)
+SELECT camera_id, frame_idx, track_a, track_b, calibrated, round(CASE WHEN d1 <= 0 THEN 0 ELSE d1 / ((d0 - d1) / dt) END, 6) AS ttc
+FROM pw WHERE dt > 0 AND (d0 - d1) / dt > 0""")
+def pair_ttc_world(spark, sf):
+    """Time to contact on the road plane of each calibrated camera, in pixels for the others."""
+    p = motion.pair_ttc(motion.motion(S.obs(spark, sf)), planes=planes(spark, sf))
+    return p.select("camera_id", "frame_idx", "track_a", "track_b", "calibrated", r6("ttc"))
+
+
 @query("neighbours_gaps", f"""
 WITH {SQL_FEATURES}
 SELECT camera_id, frame_idx, track_id, round(gap_front, 6) AS gap_front,

@@ -8,6 +8,7 @@ import pandas as pd
 
 from tarmac.operators import incidents as I
 from tarmac.operators import questions
+from tarmac.operators.geojoin import nearest
 from tarmac.operators.textjoin import contains_join
 
 
@@ -79,3 +80,40 @@ def test_groups_equal_plain_rule():
         state, out = I.group_step(json.loads(json.dumps(state)), df[a : a + 37])
         got.update(zip(out.event_id.tolist(), out.group_id.tolist()))
     assert got == want
+
+
+def test_contains_join_by_rarest_gram(spark):
+    rnd = random.Random(3)
+    names = [f"EV0000{i:06d}" for i in range(20_000)] + ["a", "zz", "long needle with words", "x" * 40, "missing!", ""]
+    texts = [(i, " ".join([f"EV0000{rnd.randrange(40_000):06d}", rnd.choice(["a", "b", "zzz", "long needle with words", "x" * 41]), "EV0000"])) for i in range(300)] + [(900, None), (901, "")]
+    t = spark.createDataFrame(texts, "id long, text string")
+    n = spark.createDataFrame([(x,) for x in names] + [(None,)], "name string")
+    known = set(names)
+    want = {(i, x) for i, s in texts if s for x in {s[a:b] for a in range(len(s)) for b in range(a + 1, min(len(s), a + 45) + 1)} & known}
+    assert {(r.id, r.name) for r in contains_join(t, "text", n, "name").collect()} == want
+    some = n.where("length(name) <> 12")
+    short = {(i, x) for i, x in want if len(x) != 12}
+    for few in (0, 64):
+        assert {(r.id, r.name) for r in contains_join(t, "text", some, "name", few).collect()} == short
+
+
+def test_nearest_far_away_and_at_the_poles(spark):
+    rnd = random.Random(6)
+    site = [(i, 36 + rnd.uniform(-1, 1), 127 + rnd.uniform(-1, 1)) for i in range(400)] + [(900, 89.9, 10.0), (901, -89.5, 0.0), (902, 10.0, 179.99), (903, 10.0, -179.99), (904, 90.0, 0.0)]
+    pts = [(90.0, 77.0), (-90.0, 0.0), (10.0, 180.0), (10.0, -180.0), (-36.0, -53.0), (0.0, 0.0), (36.0, 127.0), (89.95, -170.0)]
+    s = spark.createDataFrame(site, "cctv_id long, site_lat double, site_lon double")
+    p = spark.createDataFrame(pts + pts[:2] + [(None, 1.0)], "lat double, lon double")
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    for k in (1, 3, 10):
+        got = {}
+        for r in nearest(p, s, k).collect():
+            got.setdefault((r.lat, r.lon), []).append((r["rank"], r.distance_km))
+        for a in pts:
+            best = sorted(km(*a, b[1], b[2]) for b in site)[:k]
+            assert all(abs(d - w) < 1e-6 for (_, d), w in zip(sorted(got[a]), best, strict=True)), (a, k)
+    assert nearest(p, s.limit(0), 3).count() == 0
+    assert nearest(p, s.where("cctv_id >= 903"), 5).count() == 2 * len(set(pts))
