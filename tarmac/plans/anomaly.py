@@ -340,14 +340,34 @@ def shadow_log(spark, sf):
                     r6(F.col("gated_scores")["b"], "score_b"))
 
 
-@query("alarm_rate_limit")
-def alarm_rate_limit(spark, sf):
-    """Alarm limiting over every trigger scored by its severity."""
-    t = S.triggers(spark, sf)
+def alarm_events(spark, sf):
     level = F.when(F.col("severity") >= ensemble.ALARM_AT, "ALARM").otherwise("ALERT")
-    e = t.where(F.col("severity") >= ensemble.ALERT_AT).select(
+    return S.triggers(spark, sf).where(F.col("severity") >= ensemble.ALERT_AT).select(
         "camera_id", "event_id", (F.col("t") * 60).alias("t"), "severity", level.alias("level"))
-    out = ensemble.limit_alarms(e, F.floor(F.col("t") / 86_400))
+
+
+SQL_ALARMS = f"""
+WITH RECURSIVE {S.SQL_TRIG},
+lv AS (SELECT camera_id, event_id, t * 60 AS t, CASE WHEN severity >= {ensemble.ALARM_AT} THEN 'ALARM' ELSE 'ALERT' END AS level
+       FROM trig WHERE severity >= {ensemble.ALERT_AT}),
+al AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY t, event_id) AS rn FROM lv WHERE level = 'ALARM'),
+ru AS (
+  SELECT camera_id, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS t, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS kept, true AS ok
+  FROM (SELECT DISTINCT camera_id FROM al)
+  UNION ALL
+  SELECT a.camera_id, a.event_id, a.t, a.rn,
+         CASE WHEN len(list_filter(kept, lambda x: x > a.t - 3600)) < {ensemble.ALARMS_PER_HOUR}
+              THEN list_append(list_filter(kept, lambda x: x > a.t - 3600), a.t) ELSE list_filter(kept, lambda x: x > a.t - 3600) END,
+         len(list_filter(kept, lambda x: x > a.t - 3600)) < {ensemble.ALARMS_PER_HOUR}
+  FROM ru JOIN al a ON a.camera_id = ru.camera_id AND a.rn = ru.rn + 1)
+SELECT camera_id, event_id, t, CASE WHEN ok THEN 'ALARM' ELSE 'ALERT' END AS level FROM ru WHERE rn > 0
+UNION ALL SELECT camera_id, event_id, t, level FROM lv WHERE level <> 'ALARM'"""
+
+
+@query("alarm_rate_limit", SQL_ALARMS)
+def alarm_rate_limit(spark, sf):
+    """Alarm limiting over every trigger scored by its severity."""
+    out = ensemble.limit_alarms(alarm_events(spark, sf), F.floor(F.col("t") / 86_400))
     return out.select("camera_id", "event_id", "t", "level")
 
 

@@ -9,7 +9,9 @@ from tarmac.operators import episodes, incidents, motion, triggers
 from tarmac.plans import places
 from tarmac.plans.events import SQL_EPISODES
 from tarmac.plans.registry import query
-from tarmac.plans.traffic import PERIOD, SQL_FLOW, SQL_MOTION, r6
+from tarmac.plans.anomaly import SQL_ALARMS, SQL_FEATURES, alarm_events
+from tarmac.plans.events import SQL_EPISODES
+from tarmac.plans.traffic import PERIOD, SQL_FLOW, r6
 from tarmac.session import stage
 from tarmac.sources import samples as S
 from tarmac.streaming import runs
@@ -62,20 +64,28 @@ def trigger_detector(spark, sf):
 @query("trigger_stream")
 def trigger_stream(spark, sf):
     f = triggers.stream_rows(trigger_signals(spark, sf), F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")))
-    s = runs.keyed_fold(runs.as_stream(stage(f), "t"), ["camera_id", "type"], ["frame_idx"], triggers.stream_fold, triggers.SCHEMA)
+    s = runs.keyed_fold(runs.shuffled_stream(stage(f), "ts", late=9.0, beat="2 days"), ["camera_id", "type"], ["frame_idx"], triggers.stream_fold, triggers.SCHEMA, idle_sec=86_400)
     return runs.drain(s).select("camera_id", "type", "frame_idx", "t",
                                 F.array_join("involved_tracks", ",").alias("involved"), r6("severity"))
 
 
 @query("feature_state_stream", f"""
-WITH {SQL_MOTION}
-SELECT camera_id, track_id, frame_idx, track_age, round(speed_kmh, 6) AS speed_kmh, round(stop_duration, 6) AS stop_duration FROM motion""")
+WITH {SQL_FEATURES}
+SELECT camera_id, track_id, frame_idx, {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in motion.FEATURES)} FROM features""")
 def feature_state_stream(spark, sf):
-    o = S.obs(spark, sf).select("camera_id", "track_id", "frame_idx", "t", "cx", "cy",
+    """All fifteen features of a feed whose rows come up to nine seconds late and in several micro-batches."""
+    o = S.obs(spark, sf).select("camera_id", "track_id", "frame_idx", "t", "cx", "cy", "w", "h", "x1", "x2",
                                 F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")).alias("ts"))
-    s = runs.keyed_fold(runs.as_stream(stage(o), "t"), ["camera_id", "track_id"], ["frame_idx"],
-                        runs.motion_step, runs.MOTION, idle_sec=1e9)
-    return runs.drain(s).select("camera_id", "track_id", "frame_idx", "track_age", r6("speed_kmh"), r6("stop_duration"))
+    feed = runs.shuffled_stream(stage(o), "ts", late=9.0, beat="2 days")
+    f = runs.drain(runs.feature_stream(feed, idle_sec=86_400))
+    return f.select("camera_id", "track_id", "frame_idx", *[r6(c) for c in motion.FEATURES])
+
+
+@query("alarm_stream", SQL_ALARMS)
+def alarm_stream(spark, sf):
+    """Alarm limiting as a stream; the same rows as `alarm_rate_limit`."""
+    e = alarm_events(spark, sf).select("camera_id", "event_id", "t", "level", F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")).alias("ts"))
+    return runs.drain(runs.alarm_stream(runs.shuffled_stream(stage(e), "ts", late=9.0, beat="2 days")))
 
 
 @query("episode_stream", f"""
@@ -86,7 +96,7 @@ def episode_stream(spark, sf):
     """Recordings as a stream, each put out when its time is over."""
     t = episodes.recordable(S.triggers(spark, sf)).select(
         "camera_id", "event_id", "type", "t", F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")).alias("ts"))
-    s = runs.keyed_fold(runs.as_stream(stage(t), "t", beat="2 days"), ["camera_id"], ["t", "event_id"], runs.episode_step,
+    s = runs.keyed_fold(runs.shuffled_stream(stage(t), "ts", late=9.0, beat="2 days"), ["camera_id"], ["t", "event_id"], runs.episode_step,
                         runs.EPISODE, idle_sec=86_400, finish=runs.episode_finish, due=runs.episode_due(S.EPOCH_2024))
     return runs.drain(s).drop("seconds")
 
@@ -113,5 +123,5 @@ def group_stream(spark, sf):
     t = t.join(c.select(F.col("cctv_id").alias("camera_id"), "lat", "lon"), "camera_id").join(areas, "camera_id")
     t = t.withColumn("ts", F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")))
     out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("group_id", T.LongType())])
-    s = runs.keyed_fold(runs.as_stream(stage(t), "t"), ["area"], ["t", "event_id"], incidents.group_step, out)
+    s = runs.keyed_fold(runs.shuffled_stream(stage(t), "ts", late=9.0, beat="2 days"), ["area"], ["t", "event_id"], incidents.group_step, out)
     return runs.drain(s)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import json
+import pickle
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tarmac.operators import episodes, flow
+from tarmac.operators import ensemble, episodes, flow, motion
 from tarmac.session import shared_dir, stage
 
 FRAME_DELAY, FEED_DELAY = "10 seconds", "10 minutes"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -109,48 +112,142 @@ def first_seen(stream: DataFrame, key: Sequence[str], ttl: str = "24 hours") ->
     return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(list(key))
 
 
+class InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then folds them in the order of their time.
+
+    What is held is a list state, one packed piece for each micro-batch; the fold keeps its own state. One event-time timer a key
+    wakes it for the earliest of: the next held row, what the fold says is due, the time at which a silent key is forgotten.
+    Rows without a key (a heartbeat) only move the watermark.
+    """
+
+    def __init__(self, fold: Fold, order: Sequence[str], idle_sec: float) -> None:
+        self.fold, self.order, self.idle = fold, list(order), int(idle_sec * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows binary")
+        self.seen = handle.getValueState("seen", "last_ms long")
+        self.fold.open(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pieces = list(rows)
+        if any(k is None or k != k for k in key) or not pieces:
+            return
+        new = pd.concat(pieces, ignore_index=True)
+        last = int(new["ts"].max().timestamp() * 1000)
+        if self.seen.exists():
+            last = max(last, self.seen.get()[0])
+        self.seen.update((last,))
+        yield from self._release(new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._release(None, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _release(self, new, timerValues):
+        now = timerValues.getCurrentWatermarkInMs()
+        old = [pickle.loads(r[0]) for r in self.held.get()] if self.held.exists() else []
+        rows = pd.concat([*old, *([] if new is None else [new])], ignore_index=True) if old or new is not None else None
+        next_ms = None
+        if rows is not None:
+            at = rows["ts"].map(lambda x: x.timestamp() * 1000)
+            ready = at <= now
+            if ready.any():
+                yield self.fold.step(rows[ready].sort_values(self.order, kind="stable"))
+            rest = rows[~ready]
+            if len(rest):
+                if ready.any() or len(old) > 8:
+                    self.held.put([(pickle.dumps(rest, 5),)])
+                else:
+                    self.held.appendValue((pickle.dumps(new, 5),))
+                next_ms = int(np.ceil(at[~ready].min()))
+            else:
+                self.held.clear()
+        due = self.fold.due()
+        while due is not None and due * 1000 <= now:
+            yield self.fold.finish(due)
+            due = self.fold.due()
+        last = self.seen.get()[0] if self.seen.exists() else now
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if next_ms is None and due is None and now >= last + self.idle:
+            self.seen.clear()
+            self.fold.forget()
+            return
+        wake = min(x for x in (next_ms, None if due is None else int(np.ceil(due * 1000)), last + self.idle) if x is not None)
+        self.handle.registerTimer(max(wake, now + 1))
+
+
+class Fold:
+    """What InOrder folds with. Times are seconds since 1970."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None: ...
+
+    def step(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def due(self) -> float | None:
+        """When something ends by itself, if anything does."""
+
+    def finish(self, at: float) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget(self) -> None: ...
+
+
+class DictFold(Fold):
+    """Folds by functions on a dict that JSON can hold."""
+
+    def __init__(self, step, names, finish=None, due=None) -> None:
+        self._step, self._names, self._finish, self._due = step, names, finish, due
+
+    def open(self, handle):
+        self.state = handle.getValueState("state", "json string")
+
+    def _get(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def step(self, rows):
+        st, out = self._step(self._get(), rows)
+        self.state.update((json.dumps(st),))
+        return out[self._names]
+
+    def due(self):
+        return self._due(self._get()) if self._due and self._finish else None
+
+    def finish(self, at):
+        st, out = self._finish(self._get())
+        self.state.update((json.dumps(st),))
+        return out[self._names]
+
+    def forget(self):
+        self.state.clear()
+
+
+def in_order(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, out_schema: T.StructType,
+             *, delay: str = FRAME_DELAY, idle_sec: float = 600.0) -> DataFrame:
+    """Fold each key's rows (event time `ts`) in order, also when they come up to `delay` late and in other micro-batches;
+    a key silent for `idle_sec` of event time is forgotten."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
+        InOrder(fold, order, idle_sec), out_schema, "Append", "EventTime")
+
+
 def keyed_fold(
     stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], out_schema: T.StructType,
     *, delay: str = FRAME_DELAY, idle_sec: float = 600.0,
     finish: Callable[[dict], tuple[dict, pd.DataFrame]] | None = None, due: Callable[[dict], float | None] | None = None,
 ) -> DataFrame:
-    """Fold each key's rows with JSON state; a key silent for `idle_sec` of event time is forgotten.
+    """`in_order` with a dict as state, by plain functions.
 
-    `due(state)` may name an earlier time (seconds since 1970) at which something ends by itself: then
-    `finish(state)` gives the state after it and the rows to put out. It is also called before a key is
-    forgotten, so nothing open is lost. Rows without a key (a heartbeat) only move the watermark.
+    `due(state)` may name a time (seconds since 1970) at which something ends by itself: then
+    `finish(state)` gives the state after it and the rows to put out.
     """
     names = [f.name for f in out_schema.fields]
-
-    def fn(key, pdfs, state: GroupState):
-        if any(k is None for k in key):
-            return
-        st = json.loads(state.get[0]) if state.exists else {}
-        now = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            open_ = due and due(st) is not None
-            if finish:
-                st, out = finish(st)
-                yield out[names]
-            if not open_:
-                state.remove()
-                return
-        else:
-            rows = pd.concat(list(pdfs), ignore_index=True)
-            if not len(rows):
-                return
-            st, out = step(st, rows.sort_values(list(order), kind="stable"))
-            st["_last"] = max(st.get("_last", 0), rows["ts"].max().timestamp() * 1000)
-            yield out[names]
-        ends = due(st) if due else None
-        state.update((json.dumps(st),))
-        at = st.get("_last", now) + idle_sec * 1000 if ends is None else ends * 1000
-        state.setTimeoutTimestamp(int(max(at, now + 1)))
-
-    return stream.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
-        fn, out_schema, T.StructType([T.StructField("s", T.StringType())]), "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return in_order(stream, keys, order, DictFold(step, names, finish, due), out_schema, delay=delay, idle_sec=idle_sec)
 
 
 EPISODE = T.StructType([
@@ -201,20 +298,150 @@ def episode_finish(state: dict) -> tuple[dict, pd.DataFrame]:
     return state, pd.DataFrame(out, columns=[f.name for f in EPISODE.fields])
 
 
-MOTION = T.StructType([
-    T.StructField("camera_id", T.LongType()), T.StructField("track_id", T.LongType()),
-    T.StructField("frame_idx", T.LongType()), T.StructField("track_age", T.LongType()),
-    T.StructField("speed_kmh", T.DoubleType()), T.StructField("stop_duration", T.DoubleType())])
+FEATURE_ROWS = T.StructType([*(T.StructField(c, T.LongType()) for c in ("camera_id", "track_id", "frame_idx")),
+                             *(T.StructField(c, T.DoubleType()) for c in motion.FEATURES)])
+_TRACK = "t double, cx double, cy double, w double, h double, speed double, heading double, stop_t double, age long"
 
 
-def motion_step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-    """Speed, age and standing time of one track."""
-    last, age, since, out = state.get("last"), state.get("age", 0), state.get("since"), []
-    for r in rows.itertuples():
-        age += 1
-        v = 0.0 if last is None else ((r.cx - last[0]) ** 2 + (r.cy - last[1]) ** 2) ** 0.5 * 0.05 * 3.6
-        since = (r.t if since is None else since) if v <= 5.0 else None
-        out.append((r.camera_id, r.track_id, r.frame_idx, age, v, r.t - since if since is not None else 0.0))
-        last = [float(r.cx), float(r.cy)]
-    return ({**state, "last": last, "age": age, "since": None if since is None else float(since)},
-            pd.DataFrame(out, columns=[f.name for f in MOTION.fields]))
+class FeatureFold(Fold):
+    """All fifteen features of the vehicles of one camera, frame by frame, as `motion.features` gives them for tables.
+
+    State: the last place, size, speed, heading and standing time of each track (forgotten after `idle_sec` without a
+    sighting) and the mean speeds of the last frames.
+    """
+
+    def __init__(self, dt: float = 1.0, idle_sec: float = 600.0) -> None:
+        self.dt, self.idle = dt, idle_sec
+
+    def open(self, handle):
+        self.tracks = handle.getMapState("tracks", "track_id long", _TRACK)
+        self.flow = handle.getListState("flow", "mean double")
+        self.swept = handle.getValueState("swept", "t double")
+
+    def step(self, rows):
+        means = [r[0] for r in self.flow.get()] if self.flow.exists() else []
+        known, out = {}, []
+        for i in rows["track_id"].unique().tolist():
+            if self.tracks.containsKey((i,)):
+                known[i] = tuple(self.tracks.getValue((i,)))
+        for frame, g in rows.groupby("frame_idx", sort=False):
+            out += self._frame(int(g["camera_id"].iloc[0]), int(frame), g, known, means)
+            del means[: -motion.FLOW_FRAMES]
+        for i, v in known.items():
+            self.tracks.updateValue((i,), v)
+        self.flow.put([(m,) for m in means])
+        now = float(rows["t"].max())
+        swept = self.swept.get()[0] if self.swept.exists() else now
+        if now - swept >= self.idle:
+            for (i,), v in list(self.tracks.iterator()):
+                if v[0] < now - self.idle:
+                    self.tracks.removeKey((i,))
+        if now - swept >= self.idle or not self.swept.exists():
+            self.swept.update((now,))
+        return pd.DataFrame(out, columns=FEATURE_ROWS.names)
+
+    def _frame(self, camera, frame, g, known, means):
+        ids = g["track_id"].tolist()
+        t, x, y, w, h, x1, x2 = (g[c].to_numpy(float) for c in ("t", "cx", "cy", "w", "h", "x1", "x2"))
+        n = len(ids)
+        blank = (np.nan,) * 8 + (0,)
+        old = [known.get(i) or blank for i in ids]
+        pt, px, py, pw, ph, pv, head, stop = np.array([[np.nan if c is None else c for c in o[:8]] for o in old], float).T
+        age = np.array([o[8] for o in old]) + 1
+        first = age == 1
+        dx, dy = x - px, y - py
+        speed = np.where(first, 0.0, np.hypot(dx, dy) * motion.METRES_PER_PIXEL / self.dt * 3.6 if self.dt > 0 else 0.0)
+        small = (np.abs(dx) < 0.5) & (np.abs(dy) < 0.5)
+        deg = np.degrees(np.arctan2(dx, -dy))
+        heading = np.where(first, 0.0, np.where(small, head, np.where(deg < 0, deg + 360, deg)))
+        halted = speed <= motion.STOP_KMH
+        stop = np.where(halted, np.where(first | (pv > motion.STOP_KMH), t, stop), np.nan)
+        fx, fy = np.sin(np.radians(heading)), -np.cos(np.radians(heading))
+        along = dx * fx + dy * fy
+        turn = np.abs(heading - head)
+        s, c = fx.sum(), -fy.sum()
+        mean = np.degrees(np.arctan2(s - fx, c + fy))
+        off = np.abs(heading - np.where(mean < 0, mean + 360, mean))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            area = np.where(pw * ph > 0, (w * h - pw * ph) / (pw * ph) * 100, 0.0)
+            aspect = np.where(h > 0, w / h, 1.0)
+        gx, gy = x[None, :] - x[:, None], y[None, :] - y[:, None]  # from row to column; a frame holds what a camera sees
+        d = np.hypot(gx, gy)
+        ahead = gx * fx[:, None] + gy * fy[:, None]
+        other = ~np.eye(n, dtype=bool) & (d <= motion.GAP_RANGE_PX)
+        gap = lambda ok: np.where(other & ok, d, motion.NO_GAP).min(1)
+        ttc = self._contact(np.array(ids), first, x, y, px, py, t, pt, x1, x2, w)
+        flow = speed - (np.mean(means) if means else speed)
+        cols = {"speed_kmh": speed, "acceleration": np.where(first, 0.0, (speed / 3.6 - pv / 3.6) / self.dt), "heading": heading,
+                "heading_change": np.where(first, 0.0, np.where(turn > 180, 360 - turn, turn)),
+                "heading_deviation": np.where(off > 180, 360 - off, off) if n > 3 else np.zeros(n),
+                "lateral_speed": np.where(first, 0.0, np.hypot(dx - along * fx, dy - along * fy)), "ttc_min": ttc,
+                "gap_front": gap(ahead > 0), "gap_rear": gap(ahead < 0), "speed_diff_flow": flow,
+                "stop_duration": np.where(halted, t - stop, 0.0), "area_change_rate": area, "aspect_ratio": aspect,
+                "track_age": age.astype(float), "neighbor_count": (other & (d <= motion.NEIGHBOUR_RADIUS_PX)).sum(1).astype(float)}
+        for k, i in enumerate(ids):
+            known[i] = (t[k], x[k], y[k], w[k], h[k], speed[k], heading[k], None if np.isnan(stop[k]) else stop[k], int(age[k]))
+            known[i] = tuple(v if v is None else (int(v) if j == 8 else float(v)) for j, v in enumerate(known[i]))
+        means.append(float(speed.mean()))
+        return [(camera, i, frame, *(float(cols[c][k]) for c in motion.FEATURES)) for k, i in enumerate(ids)]
+
+    def _contact(self, ids, first, x, y, px, py, t, pt, x1, x2, w):
+        least = np.full(len(ids), np.inf)
+        a, b = np.nonzero((ids[:, None] < ids[None, :]) & ~first[:, None] & ~first[None, :])
+        width = np.minimum(w[a], w[b])
+        over = np.maximum(0.0, np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ok = (width > 0) & (over / width > motion.LANE_OVERLAP)
+        a, b = a[ok], b[ok]
+        before, now = np.hypot(px[b] - px[a], py[b] - py[a]), np.hypot(x[b] - x[a], y[b] - y[a])
+        dt = ((t[a] - pt[a]) + (t[b] - pt[b])) / 2
+        for i, j, d0, d1, s in zip(a, b, before, now, dt, strict=True):
+            if s > 0 and (d0 - d1) / s > 0:
+                sec = 0.0 if d1 <= 0 else d1 / ((d0 - d1) / s)
+                least[i], least[j] = min(least[i], sec), min(least[j], sec)
+        return np.where(np.isfinite(least), least, motion.NO_TTC)
+
+    def forget(self):
+        self.tracks.clear()
+        self.flow.clear()
+        self.swept.clear()
+
+
+def feature_stream(obs: DataFrame, dt: float = 1.0, delay: str = FRAME_DELAY, idle_sec: float = 600.0) -> DataFrame:
+    """The fifteen features of a stream of observations (with the event time `ts`), keyed by camera."""
+    return in_order(obs, ["camera_id"], ["ts", "frame_idx", "track_id"], FeatureFold(dt, idle_sec), FEATURE_ROWS, delay=delay, idle_sec=idle_sec)
+
+
+LEVELS = T.StructType([T.StructField("camera_id", T.LongType()), T.StructField("event_id", T.LongType()),
+                       T.StructField("t", T.DoubleType()), T.StructField("level", T.StringType())])
+
+
+class AlarmLimit(Fold):
+    """Alarms beyond `per_hour` within an hour become alerts and do not count. State: the times of the last alarms."""
+
+    def __init__(self, per_hour: int) -> None:
+        self.per_hour = per_hour
+
+    def open(self, handle):
+        self.recent = handle.getListState("recent", "t double")
+
+    def step(self, rows):
+        recent, levels = [r[0] for r in self.recent.get()] if self.recent.exists() else [], []
+        for t, level in zip(rows["t"].tolist(), rows["level"].tolist(), strict=True):
+            if level == "ALARM":
+                recent = [x for x in recent if x > t - ensemble.HOUR]
+                if len(recent) < self.per_hour:
+                    recent.append(t)
+                else:
+                    level = "ALERT"
+            levels.append(level)
+        self.recent.put([(x,) for x in recent]) if recent else self.recent.clear()
+        return rows.assign(level=levels)[LEVELS.names]
+
+    def forget(self):
+        self.recent.clear()
+
+
+def alarm_stream(events: DataFrame, per_hour: int = ensemble.ALARMS_PER_HOUR, delay: str = FRAME_DELAY) -> DataFrame:
+    """`ensemble.limit_alarms` for a stream of camera_id, event_id, t, level, ts."""
+    return in_order(events, ["camera_id"], ["t", "event_id"], AlarmLimit(per_hour), LEVELS, delay=delay, idle_sec=ensemble.HOUR)
