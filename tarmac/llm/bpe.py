@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 
 from tarmac.llm.common import annotate, query, table
 
+_QUEUED = 512  # bytes of a slice from which merges are queued
+
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow an apostrophe in a contraction.
@@ -159,6 +162,8 @@ class Encoder:
             return [whole]
         get, none = self.pairs.get, 1 << 40
         ids = [self.ranks[piece[i : i + 1]] for i in range(len(piece))]
+        if len(ids) > _QUEUED:
+            return self._merge_long(ids)
         near = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while near and (low := min(near)) < none:
             i = near.index(low)
@@ -170,6 +175,33 @@ class Encoder:
                 near[i] = get(low << 32 | ids[i + 1], none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same for a long piece: pairs wait in a queue by rank and place, ids are linked to their neighbours."""
+        get, n = self.pairs.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]  # of the pair that begins at each place, -1: none
+        queue = [(r, i) for i, r in enumerate(rank) if r >= 0]
+        heapq.heapify(queue)
+        while queue:
+            r, i = heapq.heappop(queue)
+            if rank[i] != r:
+                continue  # one of the pair has been merged since
+            gone = after[i]
+            ids[i], after[i], rank[gone] = r, after[gone], -1
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if at >= 0:
+                    right = after[at]
+                    rank[at] = get(ids[at] << 32 | ids[right], -1) if right < n else -1
+                    if rank[at] >= 0:
+                        heapq.heappush(queue, (rank[at], at))
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         group: list[str] = []
@@ -257,9 +289,10 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text") -> DataFrame:
     """`docs` with _ids (array of int) and _offsets (of each id's bytes in the text).
 
     Null and empty texts have no ids; text that looks like a special token is ordinary text; whole texts are
-    encoded; equal texts get equal ids. Other columns stay.
+    encoded; equal texts get equal ids. Other columns stay, but for any of these names, which are replaced.
     """
     encoder = shipped(docs.sparkSession, ranks)
+    docs = docs.drop("_ids", "_offsets")
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("_ids", ArrayType(IntegerType(), False)), StructField("_offsets", ArrayType(IntegerType(), False))])
 
@@ -275,8 +308,9 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text") -> DataFrame:
 
 
 def decode(rows: DataFrame, ranks: str, ids_col: str = "_ids") -> DataFrame:
-    """`rows` with _bytes, what their ids stand for (null ids: empty)."""
+    """`rows` with _bytes, what their ids stand for (null ids: empty); a column of that name is replaced."""
     encoder = shipped(rows.sparkSession, ranks)
+    rows = rows.drop("_bytes")
     at = rows.columns.index(ids_col)
     schema = StructType([*rows.schema.fields, StructField("_bytes", BinaryType())])
 

@@ -99,8 +99,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"links not resolved in {rounds} rounds")
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """`docs` under column names that clash with nothing an operator adds, the new name of a column, and the way back."""
+    names = {c: f"x{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names.__getitem__, lambda df: df.select(*(F.col(v).alias(c) for c, v in names.items()))
+
+
 def annotate(docs: DataFrame, text_col: str, added: str, fn, keep_text: bool = False) -> DataFrame:
-    """`docs` with the columns `added` (as a DDL string) that fn gives for a batch of texts (UTF-8 bytes)."""
+    """`docs` with the columns `added` (as a DDL string) that fn gives for a batch of texts (UTF-8 bytes).
+
+    Columns of `docs` that have one of these names are replaced.
+    """
+    docs = docs.drop(*StructType.fromDDL(added).names)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     at = [docs.columns.index(f.name) for f in kept]
     text = docs.columns.index(text_col)

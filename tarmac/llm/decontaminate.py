@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import annotate, blocks, query, table
+from tarmac.llm.common import annotate, blocks, query, shielded, table
 
 RADIUS, QUARTERS = 11, 4  # within 11 bits, one of four 16-bit blocks is within 2
 SHINGLE, LEAST = 5, 0.8
@@ -347,7 +347,8 @@ def _searcher(sent):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` without those that hold a benchmark item."""
-    return find(docs, items, text_col, keep_text=True).where(F.size("_hits") == 0).select(*docs.columns)
+    docs, to, back = shielded(docs)
+    return back(find(docs, items, to(text_col), keep_text=True).where(F.size("_hits") == 0))
 
 
 @query("op7_decontaminate_simhash")

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import annotate, fold, query, table
+from tarmac.llm.common import annotate, fold, query, shielded, table
 
 UND = "und"
 LEVEL = 3
@@ -106,8 +106,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """`docs` without those that are rejected, learning from the rows outside the held-out fold."""
-    learned = fit(docs.where(fold(id_col, 3) != 1), text_col, lang_col)
-    return identify(docs, learned, text_col, keep_text=True).where("NOT _rejected").select(*docs.columns)
+    docs, to, back = shielded(docs)
+    learned = fit(docs.where(fold(to(id_col), 3) != 1), to(text_col), to(lang_col))
+    return back(identify(docs, learned, to(text_col), keep_text=True).where("NOT _rejected"))
 
 
 @query("op4_langid_compression")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import annotate, blocks, fold, query, table
+from tarmac.llm.common import annotate, blocks, fold, query, shielded, table
 
 DIM, NONZERO, HIDDEN = 128, 8, 32
 OTHER = "<other>"  # words outside the vocabulary
@@ -181,8 +181,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_tex
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
     """`docs` without those that score under `least`, learning from the rows outside the held-out fold."""
-    model = fit(docs.where(fold(id_col, 3) != 1), labels, id_col=id_col, text_col=text_col)
-    return score(docs, model, text_col, keep_text=True).where(F.col("_score") >= least).select(*docs.columns)
+    docs, to, back = shielded(docs)
+    labels = labels.select(F.col(id_col).alias(to(id_col)), "quality")
+    model = fit(docs.where(fold(to(id_col), 3) != 1), labels, id_col=to(id_col), text_col=to(text_col))
+    return back(score(docs, model, to(text_col), keep_text=True).where(F.col("_score") >= least))
 
 
 @query("op9_quality_random_indexing")

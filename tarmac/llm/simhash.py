@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import annotate, blocks, components, query, table
+from tarmac.llm.common import annotate, blocks, components, query, shielded, table
 from tarmac.session import stage
 
 SEED = 42
@@ -198,6 +198,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns stay as they are. Documents without words are one class.
     """
+    docs, to, back = shielded(docs)
+    id_col, text_col = to(id_col), to(text_col)
     found = _members(docs, id_col, text_col, width, bits)
     kept = stage(
         found.where((F.coalesce("_id", F.lit(_LAST)) == F.col("_rep.id")) & (F.col("_hash") == F.col("_rep.hash")))
@@ -205,7 +207,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
     out = docs.join(kept.select("_id", "_hash"), same, "left_semi")
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    return back(out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col, text_col]))
 
 
 def shingle_set(text: bytes, width: int = NEAR_WIDTH) -> np.ndarray:
@@ -295,6 +297,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     No 64-bit fingerprint tells 0.8 from less, so candidates share a band of least hashes; all are checked exactly.
     Texts under five words are one shingle. Columns stay as they are. Documents without words are one class.
     """
+    docs, to, back = shielded(docs)
+    id_col, text_col = to(id_col), to(text_col)
 
     def sketch(rows):
         found = [shingle_set(t) for t in rows]
@@ -318,7 +322,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = stage(own.groupBy("_id", "_hash").count().join(rep, (F.coalesce("_id", F.lit(_LAST)) == F.col("_rep.id")) & (F.col("_hash") == F.col("_rep.hash")), "left_semi"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
     out = docs.join(kept.select("_id", "_hash"), same, "left_semi")
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    return back(out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col, text_col]))
 
 
 @query("op5_simhash_anchors")

@@ -20,6 +20,8 @@ def plain_kept(rows):
 
     for i in range(len(rows)):
         for j in range(i):
+            if 5 * min(len(sets[i]), len(sets[j])) < 4 * max(len(sets[i]), len(sets[j])):
+                continue
             both = len(sets[i] & sets[j])
             if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
                 top[find(i)] = find(j)
