@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.operators import sequence as seq
+
 MAX_FRAMES, MIN_GAP_SEC, WINDOW_SEC = 5, 1.0, 10.0
 
 
@@ -52,27 +54,29 @@ def select(window: DataFrame, max_frames: int = MAX_FRAMES, min_gap: float = MIN
     return g.select("camera_id", "event_id", "trigger_frame", picked.alias("keyframes"))
 
 
-def change_points(hist: DataFrame, keys, max_frames: int = MAX_FRAMES) -> DataFrame:
+def change_points(hist: DataFrame, keys, max_frames: int = MAX_FRAMES, size: int = seq.BLOCK) -> DataFrame:
     """First and last frame of each clip and the frames after the largest histogram jumps.
 
-    Input: keys, frame_idx, hist array<double>. Distance is Bhattacharyya's on normalised bins.
+    Input: keys, frame_idx, hist array<double>. Distance is Bhattacharyya's on normalised bins. A clip is cut into blocks
+    of `size` frames that carry the frame before them; each block names its best frames, and the clip's are among those.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    b = seq.blocks(hist.select(*keys, "frame_idx", "hist"), keys, ["frame_idx"], F.floor(F.col("frame_idx") / 4096), size=size, halo=1)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    p = F.lag("hist", 1).over(w)
-    h = hist.withColumn("_p", p)
+    h = b.withColumn("_p", F.lag("hist", 1).over(seq.block_window(keys)))
     bc = total(F.zip_with("hist", "_p", lambda a, b: F.sqrt(a * b)))
     scale = F.sqrt(total(F.col("hist")) * total(F.col("_p")))
     d = F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(bc, scale), F.lit(0.0))))
-    h = h.withColumn("d", F.when(F.col("_p").isNotNull(), d)).drop("_p", "hist")
-    ends = h.groupBy(*keys).agg(F.min("frame_idx").alias("lo"), F.max("frame_idx").alias("hi"))
-    h = h.join(ends, keys)
-    edge = (
-        (F.col("frame_idx") == F.col("lo")) | (F.col("frame_idx") == F.col("hi")))
-    r = Window.partitionBy(*keys).orderBy(edge.desc(), F.desc_nulls_last("d"), "frame_idx")
-    return h.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= max_frames).select(
-        *keys, "frame_idx", "d")
+    h = h.withColumn("d", F.when(F.col("_p").isNotNull(), d)).where(~F.col("_halo")).select(*keys, "_blk", "_g", "frame_idx", "d")
+    count = h.groupBy(*keys, "_blk").agg(F.max("_g").alias("_top")).groupBy(*keys).agg(F.max("_top").alias("_top"))
+    first, last = F.col("_g") == 1, F.col("_g") == F.col("_top")
+    order = [F.desc("_edge"), F.desc_nulls_last("d"), "frame_idx"]
+    inside, across = (Window.partitionBy(*keys, *c).orderBy(*order) for c in (["_blk"], []))
+    # a block's last frame may be the clip's, so it is always handed on
+    ends = Window.partitionBy(*keys, "_blk")
+    best = h.withColumn("_edge", first).withColumn("_rank", F.row_number().over(inside)).withColumn("_end", F.col("_g") == F.max("_g").over(ends))
+    best = best.where((F.col("_rank") <= max_frames) | F.col("_end")).join(count, keys).withColumn("_edge", first | last)
+    return best.withColumn("_rank", F.row_number().over(across)).where(F.col("_rank") <= max_frames).select(*keys, "frame_idx", "d")
 
 
 def nearest_frame(triggers: DataFrame, frames: DataFrame, keys) -> DataFrame:

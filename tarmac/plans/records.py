@@ -318,7 +318,18 @@ def keyframes(spark, sf):
     return s.select("event_id", "camera_id", "trigger_frame", F.array_join("keyframes", ",").alias("keyframes"))
 
 
-@query("change_frames")
+SQL_HIST = ", ".join(f"count(*) FILTER (cls = '{c}')::DOUBLE AS c{i}" for i, c in enumerate(("T1", "T3", "T5", "T13", "person")))
+
+
+@query("change_frames", f"""
+WITH {S.SQL_OBS},
+hi AS (SELECT camera_id, frame_idx // 60 AS clip, frame_idx, {SQL_HIST} FROM obs GROUP BY 1, 2, 3),
+pv AS (SELECT *, {', '.join(f'lag(c{i}) OVER w AS p{i}' for i in range(5))}, row_number() OVER w AS g,
+              count(*) OVER (PARTITION BY camera_id, clip) AS n FROM hi WINDOW w AS (PARTITION BY camera_id, clip ORDER BY frame_idx)),
+di AS (SELECT camera_id, clip, frame_idx, g = 1 OR g = n AS edge, CASE WHEN p0 IS NOT NULL THEN
+         sqrt(greatest(0.0, 1 - ({' + '.join(f'sqrt(c{i} * p{i})' for i in range(5))}) / sqrt(({' + '.join(f'c{i}' for i in range(5))}) * ({' + '.join(f'p{i}' for i in range(5))})))) END AS d FROM pv)
+SELECT camera_id, clip, frame_idx, round(d, 6) AS d FROM di
+QUALIFY row_number() OVER (PARTITION BY camera_id, clip ORDER BY edge DESC, d DESC NULLS LAST, frame_idx) <= 5""")
 def change_frames(spark, sf):
     """Change-point frames of every camera-hour from class histograms."""
     o = S.obs(spark, sf)

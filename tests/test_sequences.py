@@ -201,7 +201,11 @@ def test_lateral_axis_tie_and_close_pairs(spark):
     many = spark.createDataFrame([(1, i, 0, rnd.random(), rnd.random()) for i in range(60)],
                                  "clip_id long, track_id long, frame long, x double, y double")
     a = clips.closest_in_frame(many, ["clip_id", "frame"]).first().d
-    assert abs(a - clips.closest_in_frame(many, ["clip_id", "frame"], direct=1000).first().d) < 1e-12
+    p = [(r.x, r.y) for r in many.collect()]
+    assert abs(a - min(math.dist(u, v) for i, u in enumerate(p) for v in p[:i])) < 1e-12
+    same = many.union(many.limit(1).withColumn("track_id", F.lit(99).cast("long")))
+    assert clips.closest_in_frame(same, ["clip_id", "frame"]).first().d == 0
+    assert clips.closest_in_frame(many.limit(1), ["clip_id", "frame"]).count() == 0
 
 
 def test_folds_summary_is_exact():
