@@ -148,6 +148,17 @@ def latest(df: DataFrame, keys, order: str = "period_start") -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+def score_places(scored: DataFrame, prob: str = "prob") -> DataFrame:
+    """Each interchange's latest period by a trained model's probability, riskiest first: risk_score, risk_level, factors, rank.
+
+    `scored` holds the features and the model's `prob` of every period, as `learners.predict` gives them.
+    """
+    t = latest(scored, ["ic_name"])
+    rank = F.row_number().over(Window.orderBy(F.desc(prob), "ic_name"))  # one row per interchange
+    return t.select("ic_name", "period_start", F.col(prob).alias("risk_score"), risk_level(F.col(prob)).alias("risk_level"),
+                    top_factors().alias("factors"), rank.alias("rank"))
+
+
 def heatmap(feats: DataFrame) -> DataFrame:
     """Latest period of every (interchange, hour of day)."""
     h = feats.withColumn("hour_of_day", F.hour(F.timestamp_seconds("period_start")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators import clips as C
 from tarmac.operators import ensemble, flow, learners, risk, scoring
-from tarmac.plans.clips import boxes
+from tarmac.plans.clips import amber, boxes
 from tarmac.plans.registry import query
 from tarmac.plans.traffic import PERIOD, SQL_FLOW, r6
 from tarmac.session import stage
@@ -279,6 +279,16 @@ def clip_detector(spark, sf):
     return learners.predict(model, test).select("clip_id", "label", r6("prob"))
 
 
+@query("lane_specialist")
+def lane_specialist(spark, sf):
+    """The lane-change specialist: a forest on the 28 clip features, blink and lateral movement of the clips with a lane change."""
+    f = C.specialist_features(S.traj(spark, sf), amber(spark, sf))
+    df = stage(f.withColumn("label", (F.col("clip_id") % 3 == 0).cast("int")))
+    train, test = learners.holdout(df)
+    model = learners.train_forest(train, C.SPECIALIST)
+    return learners.predict(model, test).select("clip_id", "label", r6("blink"), r6("changer_lat"), r6("prob"))
+
+
 @query("iforest_scores")
 def iforest_scores(spark, sf):
     df = stage(clip_table(spark, sf))
@@ -295,14 +305,24 @@ def recon_threshold(spark, sf):
     return e.select("clip_id", "track_id", "win", r6("error"), "is_anomaly")
 
 
-@query("risk_model")
-def risk_model(spark, sf):
-    """Boosted trees on the nineteen features and 30-minute labels, scored on every period."""
+def trained(spark, sf):
+    """The periods' features and labels with the probability of a model trained on them."""
     f = risk_table(spark, sf)
     a = agg_table(spark, sf).select("ic_name", "period_start")
     lab = risk.labels(a, risk.accident_links(acc_table(spark, sf), a), PERIOD)
     df = stage(f.join(lab, ["ic_name", "period_start"]))
-    model = learners.train_risk(df, risk.FEATURES, ["ic_name", "period_start"])
-    p = learners.predict(model, df)
-    return p.select("ic_name", "period_start", "label", r6("prob"),
-                    risk.risk_level(F.col("prob")).alias("risk_level"))
+    return learners.predict(learners.train_risk(df, risk.FEATURES, ["ic_name", "period_start"]), df)
+
+
+@query("risk_model")
+def risk_model(spark, sf):
+    """Boosted trees on the nineteen features and 30-minute labels, scored on every period."""
+    return trained(spark, sf).select("ic_name", "period_start", "label", r6("prob"),
+                                     risk.risk_level(F.col("prob")).alias("risk_level"))
+
+
+@query("risk_model_ranking")
+def risk_model_ranking(spark, sf):
+    """All interchanges ranked by the trained model on their latest period."""
+    t = risk.score_places(trained(spark, sf))
+    return t.select("ic_name", r6("risk_score"), "risk_level", "rank", F.array_join(F.transform("factors", lambda f: f["feature"]), ",").alias("factors"))
