@@ -313,6 +313,26 @@ def group_step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
             pd.DataFrame({"event_id": events, "group_id": group}))
 
 
+def tied_areas(cameras: DataFrame, ties: DataFrame) -> DataFrame:
+    """camera_id, area of every camera of the catalogue or of `ties` (camera_id, incident_id): areas that share an official id are one.
+
+    A camera the catalogue lacks is an area of its own.
+    """
+    own = cameras.select(F.col("cctv_id").alias("camera_id")).union(ties.select("camera_id")).distinct()
+    areas = own.join(camera_areas(cameras).withColumnRenamed("cctv_id", "camera_id"), "camera_id", "left").withColumn(
+        "area", F.coalesce("area", -1 - F.col("camera_id")))
+    tied = ties.where("incident_id IS NOT NULL").select("camera_id", "incident_id").distinct().join(areas, "camera_id")
+    merged = _merge_labels(tied.select("area", F.col("incident_id").alias("tie")))
+    return areas.join(merged, "area", "left").select("camera_id", F.coalesce("root", "area").alias("area"))
+
+
+def placed(triggers: DataFrame, cameras: DataFrame, areas: DataFrame) -> DataFrame:
+    """Triggers with lat, lon and area; both sides of the joins are catalogues, so `triggers` may be a stream."""
+    where = cameras.select(F.col("cctv_id").alias("camera_id"), "lat", "lon")
+    return triggers.join(where, "camera_id", "left").join(areas, "camera_id", "left").withColumn(
+        "area", F.coalesce("area", -1 - F.col("camera_id")))
+
+
 def group_triggers(triggers: DataFrame, cameras: DataFrame,
                    size: int = folds.FOLD_BLOCK) -> DataFrame:
     """Triggers of several cameras joined into incidents.
@@ -324,17 +344,9 @@ def group_triggers(triggers: DataFrame, cameras: DataFrame,
     the gap. A camera the catalogue lacks is an area of its own, near nothing, tied to others by
     official ids only. Input: event_id, camera_id, t, incident_id (nullable).
     """
-    areas = camera_areas(cameras)
-    t = triggers.join(
-        cameras.select(F.col("cctv_id").alias("camera_id"), "lat", "lon"), "camera_id", "left").join(
-        areas.withColumnRenamed("cctv_id", "camera_id"), "camera_id", "left").withColumn(
-        "area", F.coalesce("area", -1 - F.col("camera_id")))
-    ids = t.where("incident_id is not null")
-    span = ids.groupBy("incident_id").agg(F.max("t").alias("_last"), F.min("area").alias("_low"))
-    tied = ids.select("incident_id", "area").distinct().join(span, "incident_id")
-    merged = _merge_labels(tied.select("area", F.col("incident_id").alias("tie")))
-    t = t.join(merged, "area", "left").withColumn("area", F.coalesce("root", "area")).drop("root")
-    t = t.join(span.select("incident_id", "_last"), "incident_id", "left")
+    ids = triggers.where("incident_id is not null")
+    t = placed(triggers, cameras, cut_lineage(tied_areas(cameras, ids.select("camera_id", "incident_id").distinct())))
+    t = t.join(ids.groupBy("incident_id").agg(F.max("t").alias("_last")), "incident_id", "left")
     ends = F.greatest(F.col("t"), F.coalesce("_last", "t")) + GROUP_SEC
     runs = folds.reset_runs(t, ["area"], ["t", "event_id"], F.floor(F.col("t") / 86_400), ends,
                             F.col("t"))

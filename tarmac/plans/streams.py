@@ -114,14 +114,10 @@ def retention_stream(spark, sf):
 
 @query("group_stream")
 def group_stream(spark, sf):
-    """Incident grouping as a stream keyed by camera area."""
+    """Incident grouping as a stream keyed by area; which ids tie areas is known from the feed's list of incidents."""
     c = S.cameras(spark, sf)
-    areas = incidents.camera_areas(c).withColumnRenamed("cctv_id", "camera_id")
-    t = S.triggers(spark, sf).select(
-        "event_id", "t", (F.col("camera_id") * 10 + F.col("track_id") % 10).alias("camera_id"),
-        F.lit(None).cast("long").alias("incident_id"))
-    t = t.join(c.select(F.col("cctv_id").alias("camera_id"), "lat", "lon"), "camera_id").join(areas, "camera_id")
-    t = t.withColumn("ts", F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t")))
+    t = stage(places.reported(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(S.EPOCH_2024) + F.col("t"))))
+    areas = stage(incidents.tied_areas(c, t.where("incident_id IS NOT NULL").select("camera_id", "incident_id").distinct()))
+    feed = incidents.placed(runs.shuffled_stream(t, "ts", late=9.0, beat="2 days"), c, areas)
     out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("group_id", T.LongType())])
-    s = runs.keyed_fold(runs.shuffled_stream(stage(t), "ts", late=9.0, beat="2 days"), ["area"], ["t", "event_id"], incidents.group_step, out)
-    return runs.drain(s)
+    return runs.drain(runs.keyed_fold(feed, ["area"], ["t", "event_id"], incidents.group_step, out, idle_sec=86_400))

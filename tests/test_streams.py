@@ -28,6 +28,10 @@ def test_trigger_stream_equals_batch(spark, small):
     same(catalogue.QUERIES["trigger_stream"](spark, small), catalogue.QUERIES["trigger_detector"](spark, small))
 
 
+def test_group_stream_equals_batch(spark, small):
+    same(catalogue.QUERIES["group_stream"](spark, small), catalogue.QUERIES["incident_groups"](spark, small))
+
+
 @pytest.mark.parametrize("late", [0.0, 9.0])
 def test_features_of_a_shuffled_feed(spark, late):
     rnd = random.Random(4)
