@@ -18,6 +18,8 @@ HEADLINE = [
     "speed_variance", "incident_camera_radius", "nearest_cameras", "incident_verify", "risk_features",
     "clip_kinematics", "blink_score", "keyword_search", "vector_search", "tfidf_search",
     "question_routing", "response_normalise", "threshold_search", "recording_health",
+    "hybrid_search", "batch_qa", "trigger_detector", "incident_groups", "pair_ttc_world", "change_frames",
+    "collection_outcomes", "feature_state_stream", "retention_stream",
 ]
 
 
