@@ -307,7 +307,22 @@ def keyframe_window(spark, sf):
         F.max_by("frame_idx", F.struct(F.col("q"), -F.col("frame_idx"))).alias("best_frame"))
 
 
-@query("keyframes")
+@query("keyframes", f"""
+WITH RECURSIVE {S.SQL_OBS},
+fq AS (SELECT camera_id, frame_idx, max(t) AS t, max(least(1.0, w * h / (1920.0 * 1080)) * (k / 100.0) *
+         greatest(0.0, 1 - (abs(cx - 960) / 960 + abs(cy - 540) / 540) / 2)) AS q FROM obs GROUP BY 1, 2),
+tr AS (SELECT camera_id, event_id, frame_idx AS trigger_frame, t AS trigger_t FROM obs WHERE k >= 95),
+ca AS MATERIALIZED (SELECT tr.*, fq.frame_idx AS f, fq.t AS ft, row_number() OVER (PARTITION BY tr.camera_id, event_id ORDER BY q DESC, frame_idx) AS rn
+  FROM tr JOIN fq ON fq.camera_id = tr.camera_id AND abs(frame_idx - trigger_frame) <= 10),
+pick AS (
+  SELECT camera_id, event_id, trigger_frame, CAST(0 AS BIGINT) AS rn, [trigger_frame] AS fs, [trigger_t] AS ts FROM tr
+  UNION ALL
+  SELECT p.camera_id, p.event_id, p.trigger_frame, c.rn,
+         CASE WHEN len(fs) < 5 AND f <> p.trigger_frame AND len(list_filter(ts, lambda x: abs(x - ft) < 2)) = 0 THEN list_append(fs, f) ELSE fs END,
+         CASE WHEN len(fs) < 5 AND f <> p.trigger_frame AND len(list_filter(ts, lambda x: abs(x - ft) < 2)) = 0 THEN list_append(ts, ft) ELSE ts END
+  FROM pick p JOIN ca c ON c.camera_id = p.camera_id AND c.event_id = p.event_id AND c.rn = p.rn + 1)
+SELECT event_id, camera_id, trigger_frame, array_to_string(list_sort(fs), ',') AS keyframes FROM pick
+QUALIFY row_number() OVER (PARTITION BY camera_id, event_id ORDER BY rn DESC) = 1""")
 def keyframes(spark, sf):
     """Selected keyframes of every trigger."""
     o = S.obs(spark, sf)
