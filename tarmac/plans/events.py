@@ -124,7 +124,19 @@ def tier_counts(spark, sf):
         F.count_if(F.col("zero_frames") > 0).alias("zero_frame_streams"))
 
 
-@query("tier_admissions")
+SQL_TIER = f"""
+WITH RECURSIVE {S.SQL_TRIG},
+r AS MATERIALIZED (SELECT event_id, camera_id * 1000 + track_id AS cam, t, t + 60 AS until, row_number() OVER (ORDER BY t, event_id) AS rn FROM trig),
+go AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, false AS admitted, CAST([] AS STRUCT(c BIGINT, u DOUBLE)[]) AS held
+  UNION ALL
+  SELECT rn, event_id, ok, CASE WHEN ok THEN list_append(live, struct_pack(c := cam, u := until)) ELSE live END FROM (
+    SELECT *, len(live) < {episodes.TIER3_MAX} AND len(list_filter(live, lambda h: h.c = cam)) = 0 AS ok FROM (
+      SELECT r.rn, r.event_id, r.cam, r.until, list_filter(held, lambda h: h.u > r.t) AS live FROM go JOIN r ON r.rn = go.rn + 1)))
+SELECT event_id, admitted FROM go WHERE rn > 0"""
+
+
+@query("tier_admissions", SQL_TIER)
 def tier_admissions(spark, sf):
     """Promotion requests against the shared cap of concurrently analysed cameras."""
     t = S.triggers(spark, sf)
