@@ -45,27 +45,6 @@ def heartbeat(stream: DataFrame, after: str, like: DataFrame) -> DataFrame:
     return stream.union(spark.readStream.schema(stream.schema).parquet(path))
 
 
-def as_stream(df: DataFrame, order: str, parts: int = 3, beat: str | None = None) -> DataFrame:
-    """A derived table as a file stream of `parts` files in time order, one file per micro-batch.
-
-    With `beat` a last file has one row, empty but for a `ts` so long after the others.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = (hi - lo) / parts
-    for i in range(parts):
-        ok = F.col(order) >= lo + width * i
-        if i < parts - 1:
-            ok = ok & (F.col(order) < lo + width * (i + 1))
-        df.where(ok).coalesce(1).write.mode("append").parquet(path)
-    if beat:
-        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "ts"]
-        last = df.agg((F.max("ts") + F.expr(f"INTERVAL {beat}")).alias("ts")).select("ts", *rest)
-        last.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def shuffled_stream(df: DataFrame, order: str, parts: int = 3, late: float = 0.0, beat: str | None = None, files: int = 4) -> DataFrame:
     """A table as a file stream of about `parts` micro-batches by the time column `order`, `files` files each.
 
