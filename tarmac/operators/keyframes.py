@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators import sequence as seq
+from tarmac.session import stage
 
 MAX_FRAMES, MIN_GAP_SEC, WINDOW_SEC = 5, 1.0, 10.0
 
@@ -111,6 +112,20 @@ def nearest_frame(triggers: DataFrame, frames: DataFrame, keys) -> DataFrame:
     return best.unionByName(far)
 
 
+def neighbour_frames(triggers: DataFrame, frames: DataFrame, keys, spread: int = 5) -> DataFrame:
+    """The stored frame closest to each trigger frame and those `spread` positions before and after it, without repeats.
+
+    Positions count the stored frames of a key; near its ends the first or the last frame stands in. They are numbered by
+    counts of ranges, so no key is sorted as a whole.
+    """
+    keys = list(keys)
+    f = stage(seq.number_rows(frames.select(*keys, "frame_idx").distinct(), keys, ["frame_idx"], F.floor(F.col("frame_idx") / 4096), "_at"))
+    last = f.groupBy(*keys).agg(F.max("_at").alias("_n"))
+    mid = nearest_frame(triggers, f, keys).join(f, [*keys, "frame_idx"]).join(last, keys)
+    places = F.array_distinct(F.array(F.greatest(F.lit(1), F.col("_at") - spread), F.col("_at"), F.least(F.col("_n"), F.col("_at") + spread)))
+    return mid.select(*triggers.columns, F.explode(places).alias("_at")).join(f, [*keys, "_at"]).select(*triggers.columns, "frame_idx")
+
+
 def trigger_context(triggers: DataFrame, latest: DataFrame, pairs: DataFrame,
                     calibrated: bool = False) -> DataFrame:
     """Involved tracks and closing pairs of each trigger.

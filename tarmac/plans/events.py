@@ -89,7 +89,7 @@ def periodic_trigger(spark, sf):
 FAIL_LIMIT = 3
 
 
-@query("stream_health", f"""
+SQL_HEALTH = f"""
 WITH {S.SQL_TRIG},
 h AS (SELECT camera_id, event_id, t, cls = 'person' OR k >= 70 AS failed FROM trig),
 g AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY t, event_id) AS g,
@@ -99,12 +99,16 @@ SELECT camera_id, min(g) AS run, count(*) AS failures, min(t) AS first_t,
        max(t) FILTER (nth = {FAIL_LIMIT}) AS disabled_t,
        max(t) FILTER (nth = {FAIL_LIMIT}) IS NOT NULL AS disabled,
        max(t) FILTER (nth = {FAIL_LIMIT}) + 1800 AS reprobe_t
-FROM q GROUP BY camera_id, g - gf""")
+FROM q GROUP BY camera_id, g - gf"""
+
+
+def failures(spark, sf):
+    return S.triggers(spark, sf).select("camera_id", "event_id", "t", ((F.col("cls") == "person") | (F.col("k") >= 70)).alias("failed"))
+
+
+@query("stream_health", SQL_HEALTH)
 def stream_health(spark, sf):
-    t = S.triggers(spark, sf)
-    h = t.select("camera_id", "event_id", "t",
-                 ((F.col("cls") == "person") | (F.col("k") >= 70)).alias("failed"))
-    return episodes.failure_runs(h, FAIL_LIMIT)
+    return episodes.failure_runs(failures(spark, sf), FAIL_LIMIT)
 
 
 @query("tier_counts", f"""

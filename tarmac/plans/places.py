@@ -143,7 +143,7 @@ def patrol_caps(spark, sf):
     return I.patrol(n, "occurred_at").select("occurred_at", "event_id", "cctv_id", "rank", "visit")
 
 
-@query("promotion_intervals", f"""
+SQL_PROMOTED = f"""
 WITH {SQL_NEAR},
 pr AS (SELECT cctv_id, epoch(occurred_ts) AS s, epoch(occurred_ts) + 600 AS e, event_id, rm
        FROM inc JOIN mon USING (lat, lon) WHERE rm <= 3),
@@ -152,13 +152,19 @@ o AS (SELECT *, max(e) OVER (PARTITION BY cctv_id ORDER BY s, event_id
 g AS (SELECT *, sum(CASE WHEN pe IS NULL OR pe < s THEN 1 ELSE 0 END) OVER
         (PARTITION BY cctv_id ORDER BY s, event_id) AS isl FROM o)
 SELECT cctv_id, CAST(min(s) AS BIGINT) AS start_t, CAST(max(e) AS BIGINT) AS end_t, count(*) AS holds
-FROM g GROUP BY cctv_id, isl""")
-def promotion_intervals(spark, sf):
+FROM g GROUP BY cctv_id, isl"""
+
+
+def holds(spark, sf):
+    """The time for which each incident holds each of its nearest loaded cameras."""
     c = S.cameras(spark, sf)
     m = I.monitored_cameras(S.incidents(spark, sf), c, c.where("acctbal >= 0"))
-    h = m.select("cctv_id", "event_id", F.unix_timestamp("occurred_ts").alias("start_t"),
-                 (F.unix_timestamp("occurred_ts") + int(I.HOLD_SEC)).alias("end_t"))
-    return I.merge_holds(h, ["cctv_id"], "start_t", "end_t", "event_id",
+    return m.select("cctv_id", "event_id", F.unix_timestamp("occurred_ts").alias("start_t"), (F.unix_timestamp("occurred_ts") + int(I.HOLD_SEC)).alias("end_t"))
+
+
+@query("promotion_intervals", SQL_PROMOTED)
+def promotion_intervals(spark, sf):
+    return I.merge_holds(holds(spark, sf), ["cctv_id"], "start_t", "end_t", "event_id",
                          F.floor(F.col("start_t") / (86_400 * 30)))
 
 

@@ -382,3 +382,18 @@ def nearest_frames(spark, sf):
     o = S.obs(spark, sf)
     t = o.where("k >= 90").select("camera_id", "event_id", F.col("frame_idx").alias("trigger_frame"))
     return KF.nearest_frame(t, o.where("frame_idx % 7 = 3"), ["camera_id"])
+
+
+@query("frame_neighbours", f"""
+WITH {S.SQL_OBS}, f AS (SELECT camera_id, frame_idx, row_number() OVER (PARTITION BY camera_id ORDER BY frame_idx) AS p,
+  count(*) OVER (PARTITION BY camera_id) AS n FROM (SELECT DISTINCT camera_id, frame_idx FROM obs WHERE frame_idx % 7 = 3)),
+t AS (SELECT camera_id, event_id, frame_idx AS trigger_frame FROM obs WHERE k >= 90),
+r AS (SELECT event_id, t.camera_id, trigger_frame, p, n, row_number() OVER (PARTITION BY event_id
+        ORDER BY abs(f.frame_idx - trigger_frame), f.frame_idx) AS rk FROM t JOIN f USING (camera_id)),
+w AS (SELECT DISTINCT event_id, camera_id, trigger_frame, unnest([greatest(1, p - 5), p, least(n, p + 5)]) AS p FROM r WHERE rk = 1)
+SELECT event_id, camera_id, trigger_frame, frame_idx FROM w JOIN f USING (camera_id, p)""")
+def frame_neighbours(spark, sf):
+    """The closest stored frame to every trigger frame, with the fifth before and the fifth after it."""
+    o = S.obs(spark, sf)
+    t = o.where("k >= 90").select("camera_id", "event_id", F.col("frame_idx").alias("trigger_frame"))
+    return KF.neighbour_frames(t, o.where("frame_idx % 7 = 3"), ["camera_id"])

@@ -171,6 +171,19 @@ def chunk_catalog(spark, sf):
         .join(R.is_unique(c, "chunk_id").withColumnRenamed("is_unique", "unique_ids")))
 
 
+@query("chunk_documents", f"""
+WITH {S.SQL_CHUNKS}, {SQL_COS},
+mm AS (SELECT embedding_model FROM em GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT c.chunk_id, c.domain, l.quality, l.toxic, e.v IS NOT NULL AS has_vector FROM chunks c
+LEFT JOIN labels l ON l.doc_id = c.chunk_id
+LEFT JOIN em e ON e.chunk_id = c.chunk_id AND is_current AND embedding_model = (SELECT embedding_model FROM mm)""")
+def chunk_documents(spark, sf):
+    """Every chunk with its document's columns and whether it has a current vector of the chosen model."""
+    c = S.chunks(spark, sf).withColumn("doc_id", F.col("chunk_id"))
+    j = R.with_embeddings(R.with_documents(c, S.table(spark, sf, "labels"), "doc_id"), embeddings(spark, sf))
+    return j.select("chunk_id", "domain", "quality", "toxic", F.col("embedding").isNotNull().alias("has_vector"))
+
+
 @query("token_overlap", f"""
 WITH d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS k, text FROM documents)
 SELECT doc_id, round(len(list_intersect(qt, {TOK.format('d.text')})) / len(qt), 6) AS share

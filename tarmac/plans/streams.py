@@ -7,14 +7,13 @@ from pyspark.sql import types as T
 
 from tarmac.operators import episodes, incidents, motion, triggers
 from tarmac.plans import places
-from tarmac.plans.events import SQL_EPISODES
 from tarmac.plans.registry import query
 from tarmac.plans.anomaly import SQL_ALARMS, SQL_FEATURES, alarm_events
-from tarmac.plans.events import SQL_EPISODES
-from tarmac.plans.traffic import PERIOD, SQL_FLOW, r6
+from tarmac.plans.events import FAIL_LIMIT, SQL_EPISODES, SQL_HEALTH, failures
+from tarmac.plans.traffic import PERIOD, SQL_DIRECTIONS, SQL_FLOW, r6
 from tarmac.session import stage
 from tarmac.sources import samples as S
-from tarmac.streaming import runs
+from tarmac.streaming import live, runs
 
 DELAY = 600
 
@@ -121,3 +120,26 @@ def group_stream(spark, sf):
     feed = incidents.placed(runs.shuffled_stream(t, "ts", late=9.0, beat="2 days"), c, areas)
     out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("group_id", T.LongType())])
     return runs.drain(runs.keyed_fold(feed, ["area"], ["t", "event_id"], incidents.group_step, out, idle_sec=86_400))
+
+
+def _feed(rows, t: str = "t", epoch: float = S.EPOCH_2024, late: float = 9.0, beat: str = "4 days"):
+    return runs.shuffled_stream(stage(rows.withColumn("ts", F.timestamp_seconds(F.lit(epoch) + F.col(t)))), "ts", late=late, beat=beat)
+
+
+@query("health_stream", SQL_HEALTH)
+def health_stream(spark, sf):
+    """Failure runs and disabled streams as a stream; the same rows as `stream_health`."""
+    return runs.drain(live.health_stream(_feed(failures(spark, sf)), FAIL_LIMIT, epoch=S.EPOCH_2024))
+
+
+@query("promotion_stream", places.SQL_PROMOTED)
+def promotion_stream(spark, sf):
+    """Promotions and demotions as a stream of holds; the same rows as `promotion_intervals`."""
+    return runs.drain(live.promotion_stream(_feed(places.holds(spark, sf), "start_t", 0.0, late=300.0)))
+
+
+@query("line_count_stream", SQL_DIRECTIONS)
+def line_count_stream(spark, sf):
+    """Line counts flushed once a period as a stream; the same rows as `traffic_by_direction`."""
+    o = S.obs(spark, sf).select("camera_id", "track_id", "frame_idx", "t", "cy", "cls")
+    return runs.drain(live.line_counts(_feed(o), 648.0, (324.0, 918.0), up="up", down="down", epoch=S.EPOCH_2024))

@@ -86,13 +86,16 @@ def scaled(value, extent):
     return F.when(v <= 1.0, v * extent).otherwise(v)
 
 
-@query("traffic_by_direction", f"""
+SQL_DIRECTIONS = f"""
 WITH {SQL_CROSS},
 n AS (SELECT camera_id, cross_frame // 60 AS period, direction, cls_name, count(*) AS n
       FROM crossings GROUP BY 1, 2, 3, 4)
 SELECT camera_id, period, direction, CAST(sum(n) AS BIGINT) AS volume,
        string_agg(cls_name || '=' || n, ',' ORDER BY cls_name) AS by_class
-FROM n GROUP BY 1, 2, 3""")
+FROM n GROUP BY 1, 2, 3"""
+
+
+@query("traffic_by_direction", SQL_DIRECTIONS)
 def traffic_by_direction(spark, sf):
     c = crossings(spark, sf).withColumn("period", F.expr("cross_frame div 60"))
     d = flow.directional_counts(c, ["camera_id", "period"])
