@@ -171,13 +171,18 @@ def _members(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     own = stage(fingerprints(own, "_text", width))
     me = F.struct(F.coalesce("_id", F.lit(_LAST)).alias("id"), F.col("_hash").alias("hash"))
-    first = stage(own.groupBy("_fp").agg(F.min(me).alias("first")))
+    first = stage(own.groupBy("_fp").agg(F.min(me).alias("first"), F.count("*").alias("n")))
     roots = stage(components(links(first, bits)))
-    linked = first.join(roots.select(F.col("node").alias("_fp"), "root"), "_fp")
+    linked = first.drop("n").join(roots.select(F.col("node").alias("_fp"), "root"), "_fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     small = linked.join(least, "root").select("_fp", "least")
     member = first.join(small, "_fp", "left").select("_fp", F.coalesce("least", "first").alias("_rep"))
-    return own.join(member, "_fp")
+    # a fingerprint that holds more than a thousandth of all rows is dealt out; there are a thousand of these at most
+    share = max(64, own.count() // 1000)
+    hot = F.broadcast(first.where(F.col("n") > share).select("_fp", F.ceil(F.col("n") / share).cast("int").alias("_k")))
+    dealt = own.join(hot, "_fp", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int"), F.lit(0))).drop("_k")
+    member = member.join(hot, "_fp", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
+    return dealt.join(member, ["_fp", "_part"]).drop("_part")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
