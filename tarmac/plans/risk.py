@@ -164,6 +164,27 @@ def risk_report(spark, sf):
     return risk.report(ranking, risk.heatmap(a)).drop("rankings", "heatmap")
 
 
+@query("risk_report_entries", f"""
+WITH {SQL_AGG},
+l AS (SELECT ic_name, arg_max(risk_score, period_start) AS risk_score FROM agg GROUP BY 1),
+h AS (SELECT ic_name, hour(to_timestamp(period_start) AT TIME ZONE 'UTC') AS hour_of_day, arg_max(risk_score, period_start) AS risk_score FROM agg GROUP BY 1, 2)
+SELECT 'ranking' AS part, row_number() OVER (ORDER BY risk_score DESC, ic_name) AS place, ic_name, CAST(NULL AS INT) AS hour_of_day,
+       round(risk_score, 6) AS risk_score, {LEVEL_SQL} AS risk_level FROM l
+UNION ALL SELECT 'heatmap', row_number() OVER (ORDER BY ic_name, hour_of_day), ic_name, CAST(hour_of_day AS INT), round(risk_score, 6), NULL FROM h""")
+def risk_report_entries(spark, sf):
+    """What the report's two JSON texts say, entry by entry in their order."""
+    a = agg_table(spark, sf)
+    ranking = risk.latest(a, ["ic_name"]).withColumn("risk_level", risk.risk_level(F.col("risk_score")))
+    r = stage(risk.report(ranking, risk.heatmap(a)))
+    kind = dict(a.dtypes)["ic_name"]
+
+    def entries(part):
+        rows = r.select(F.posexplode(F.from_json(part, f"array<struct<ic_name: {kind}, hour_of_day: int, risk_score: double, risk_level: string>>")).alias("p", "e"))
+        return rows.select(F.lit(part.removesuffix("s")).alias("part"), (F.col("p") + 1).cast("long").alias("place"), "e.ic_name", "e.hour_of_day", r6("e.risk_score", "risk_score"), "e.risk_level")
+
+    return entries("rankings").unionByName(entries("heatmap"))
+
+
 def scores(spark, sf):
     lab = S.table(spark, sf, "labels")
     d = S.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
@@ -279,6 +300,13 @@ def clip_detector(spark, sf):
     return learners.predict(model, test).select("clip_id", "label", r6("prob"))
 
 
+@query("detector_selection")
+def detector_selection(spark, sf):
+    """The clip detector chosen among models by folds, with its threshold: verdicts on the clips held out."""
+    _, _, out = learners.select_detector(stage(clip_table(spark, sf)), C.KINEMATIC, folds=3)
+    return out.select("clip_id", "label", "model", r6("prob"), r6("threshold"), "flagged")
+
+
 @query("lane_specialist")
 def lane_specialist(spark, sf):
     """The lane-change specialist: a forest on the 28 clip features, blink and lateral movement of the clips with a lane change."""
