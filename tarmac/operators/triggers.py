@@ -105,7 +105,8 @@ def _plain(rows: DataFrame, *more: str) -> DataFrame:
 def _table(items: list) -> pd.DataFrame:
     """The items of a stretch as rows: place of the frame, order inside it, fields."""
     rows = [(k, o, x["a"], x["b"], x["x"], x["y"], x["v"]) for k, frame in enumerate(items) for o, x in enumerate(frame)]
-    return pd.DataFrame(rows, columns=["k", "o", "a", "b", "x", "y", "v"])
+    # a stream hands whole numbers on as floats where some are null; keys must read alike in tables and streams
+    return pd.DataFrame(rows, columns=["k", "o", "a", "b", "x", "y", "v"]).astype({"a": "Int64", "b": "Int64"})
 
 
 def _upto(d: pd.DataFrame, k: int, o: int) -> pd.DataFrame:
@@ -165,7 +166,7 @@ def standing(memory: dict, t: np.ndarray, items: list):
 def against(memory: dict, t: np.ndarray, items: list):
     """A vehicle heading, from where it was first seen, against the mean heading of the others."""
     for k, frame in enumerate(items):
-        ids = [str(x["a"]) for x in frame]
+        ids = [str(int(x["a"])) for x in frame]
         at = np.array([(x["x"], x["y"]) for x in frame], float).reshape(-1, 2)
         home = np.array([memory.get(i, [*p])[:2] for i, p in zip(ids, at)], float).reshape(-1, 2)
         memory.update((i, [float(p[0]), float(p[1]), float(t[k])]) for i, p in zip(ids, home))
