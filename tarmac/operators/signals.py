@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators import sequence as seq
@@ -83,6 +83,15 @@ def wrong_way(obs: DataFrame, min_move: float = 50.0, min_others: int = 3, min_n
     return o.withColumn("cosine", F.try_divide(cosine, norm)).where(F.col("cosine") < below)
 
 
+def exact_mean(value: str) -> Column:
+    """Mean of a column of doubles (to twelve decimals) that the order of its rows can't move across a limit.
+
+    Summed as doubles, values whose mean is a limit may come out beside it. Values that no decimal holds are summed as they are.
+    """
+    d = F.col(value).try_cast("decimal(30,12)")
+    return F.when(F.count(d) == F.count(value), F.avg(d).cast("double")).otherwise(F.avg(value))
+
+
 def frame_score(frames: DataFrame) -> DataFrame:
     """Fuse foreground share, frame difference, static object and histogram correlation.
 

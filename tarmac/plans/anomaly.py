@@ -605,7 +605,7 @@ SELECT camera_id, frame_idx, round(coalesce(greatest(s1, s2, s3, s4), 0.0), 6) A
        s1 IS NOT NULL OR s2 IS NOT NULL OR s3 IS NOT NULL OR s4 IS NOT NULL AS is_anomaly FROM s""")
 def frame_signal_score(spark, sf):
     g = S.obs(spark, sf).groupBy("camera_id", "frame_idx").agg(
-        (F.avg("k") / 100.0).alias("fg_ratio"), F.avg("speed").alias("diff_mean"),
+        (F.avg("k") / 100.0).alias("fg_ratio"), signals.exact_mean("speed").alias("diff_mean"),
         (F.max("k") >= 98).alias("has_static"), (F.min("k") / 20.0).alias("hist_corr"))
     s = signals.frame_score(g.withColumn("frame_no", F.col("frame_idx") + 1))
     return s.select("camera_id", "frame_idx", r6("score"), F.array_join("reasons", ",").alias("reasons"),
