@@ -19,7 +19,7 @@ MATCH_KM, VERIFY_KM, GROUP_KM = 5.0, 10.0, 5.0
 GROUP_SEC, HOLD_SEC = 180.0, 600.0
 SEVERITY_PENDING, SEVERITY_KEEP, RECHECKS = 0.7, 0.8, 3
 RECHECK_SEC, VERIFY_DELAY = 600.0, 60.0
-FEED_FRESH, FEED_SLOT = 1800.0, 3600  # how old a poll may be to count; the slots that polls are dealt by
+FEED_FRESH, FEED_SLOT = 1800.0, 600  # how old a poll may be to count; the slots that polls are dealt by
 REACT_CAMERAS = 3
 PATROL_PER_INCIDENT, PATROL_PER_CYCLE = 2, 20
 
@@ -94,17 +94,24 @@ def verify(triggers: DataFrame, cameras: DataFrame, polls: DataFrame, incidents:
     """
     t = asof.last_before(triggers, polls, ts, "poll_ts", ["feed_ok"], width=width)
     ok = F.coalesce(F.col("feed_ok"), F.lit(False))
+    cameras = watched(cameras, triggers)
     found = first_listed(t.where(ok), listed_near(incidents, cameras, km))
     out = t.join(found, ["camera_id", "poll_ts"], "left")
     return out.withColumn("outcome", F.when(~ok, "uncertain").when(F.col("incident_id").isNotNull(), "confirmed").otherwise("not_confirmed")).drop("feed_ok")
 
 
+def watched(cameras: DataFrame, rows: DataFrame) -> DataFrame:
+    """The cameras that `rows` have rows of: what is near the others can't matter to them."""
+    return cameras.join(rows.select(F.col("camera_id").alias("cctv_id")).distinct(), "cctv_id", "left_semi")
+
+
 def feed_rows(polls: DataFrame, listed: DataFrame, slot_sec: int = FEED_SLOT) -> DataFrame:
     """The feed as rows for recordings to meet: key, seen_ts, feed_ok, hit.
 
     Each poll gives a row under its time slot ("feed" rows); each incident listed near a camera one under the camera
     for every successful poll that lists it.
     """
+    polls = polls.groupBy("poll_ts").agg(F.bool_or("feed_ok").alias("feed_ok"))  # one row for each time
     status = polls.select(_slot_key(F.unix_seconds("poll_ts"), slot_sec).alias("key"), F.col("poll_ts").alias("seen_ts"), "feed_ok", F.lit(False).alias("hit"))
     width = 21_600
     slot = lambda c: F.floor(F.unix_seconds(c) / width)
@@ -127,24 +134,69 @@ def recording_outcomes(recordings: DataFrame, feed: DataFrame, fresh: float = FE
     at most `fresh` seconds old; without one, or if it failed, the check is uncertain. As streams, both sides need a
     watermark; a recording comes out when the watermarks have passed its last check, with or without a match.
     """
+    if not recordings.isStreaming:
+        per = _checked(recordings, feed, fresh, delay, every)
+    else:
+        per = _checked_as_streams(recordings, feed, fresh, delay, every, slot_sec)
+    first = F.col("first")
+    return per.select("camera_id", "event_id", "end_ts", F.coalesce(first, F.lit(-1)).alias("first_check"), "uncertain",
+                      retention(F.col("severity"), first, F.col("uncertain")).alias("action"))
+
+
+def _checked(recordings: DataFrame, feed: DataFrame, fresh: float, delay: float, every: float) -> DataFrame:
+    """Each recording with `first`, the first check that saw an incident, and `uncertain`: an as-of join of checks and polls, then an equi-join with hits."""
+    own = ["camera_id", "event_id", "severity", "end_ts"]
+    span = lambda c: F.make_interval(secs=c)
+    at = F.col("end_ts") + span(F.lit(delay) + F.col("_k") * F.lit(every))
+    checks = recordings.select(*own, F.explode(F.sequence(F.lit(0), F.lit(RECHECKS))).alias("_k")).withColumn("_due", at)
+    met = asof.last_before(checks, feed.where("NOT hit"), "_due", "seen_ts", ["feed_ok"])
+    ok = F.coalesce(F.col("feed_ok") & (F.col("seen_ts") >= F.col("_due") - span(F.lit(fresh))), F.lit(False))
+    hits = feed.where("hit").select(F.col("key").alias("_key"), F.col("seen_ts").alias("_hit")).distinct()
+    met = met.join(hits, (F.concat(F.lit("camera:"), "camera_id") == F.col("_key")) & (F.col("seen_ts") == F.col("_hit")), "left")
+    return met.groupBy(*own).agg(F.min(F.when(ok & F.col("_hit").isNotNull(), F.col("_k"))).alias("first"), (~F.bool_or((F.col("_k") == 0) & ok)).alias("uncertain"))
+
+
+def _checked_as_streams(recordings: DataFrame, feed: DataFrame, fresh: float, delay: float, every: float, slot_sec: int) -> DataFrame:
+    """`_checked` for streams: recordings are kept by slots of their end, the feed's rows go to the slots that can see them, and a slot
+    is settled when its last check is over. A row travels once for each slot within reach, so pairs of recordings and polls are never built."""
+    from tarmac.streaming import runs
+
     last = delay + RECHECKS * every
-    end = F.unix_micros("end_ts") / 1e6
-    slots = F.sequence(F.floor((end + delay - fresh) / slot_sec), F.floor((end + last) / slot_sec))
-    keys = F.concat(F.array(F.concat(F.lit("camera:"), "camera_id")), F.transform(slots, lambda s: F.concat(F.lit("feed:"), s)))
-    r = recordings.select("camera_id", "event_id", "severity", "end_ts", F.explode(keys).alias("rec_key"))
-    span = lambda s: F.expr(f"INTERVAL {int(s * 1e6)} MICROSECONDS")
-    met = r.join(feed, (F.col("rec_key") == F.col("key")) & (F.col("seen_ts") >= F.col("end_ts") + span(delay - fresh)) & (F.col("seen_ts") <= F.col("end_ts") + span(last)), "leftOuter")
-    aggs = []
-    for k in range(RECHECKS + 1):
-        at = F.col("end_ts") + span(delay + k * every)
-        inside = (F.col("seen_ts") >= at - span(fresh)) & (F.col("seen_ts") <= at)
-        aggs += [F.max(F.when(inside & ~F.col("hit"), F.struct("seen_ts", "feed_ok"))).alias(f"_poll{k}"), F.max(F.when(inside & F.col("hit"), F.col("seen_ts"))).alias(f"_hit{k}")]
-    per = met.groupBy("camera_id", "event_id", "severity", "end_ts").agg(*aggs)
-    ok = [F.coalesce(F.col(f"_poll{k}.feed_ok"), F.lit(False)) for k in range(RECHECKS + 1)]
-    seen = [ok[k] & F.coalesce(F.col(f"_hit{k}") == F.col(f"_poll{k}.seen_ts"), F.lit(False)) for k in range(RECHECKS + 1)]
-    first = F.coalesce(*(F.when(s, F.lit(k)) for k, s in enumerate(seen)))
-    return per.select("camera_id", "event_id", "end_ts", F.coalesce(first, F.lit(-1)).alias("first_check"), (~ok[0]).alias("uncertain"),
-                      retention(F.col("severity"), first, ~ok[0]).alias("action"))
+    slot = lambda c: F.floor(c / slot_sec)
+    sec = lambda c: F.unix_micros(c) / 1e6
+    text = lambda c: F.col(c).cast("string").alias(c)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    r = recordings.select(F.col("end_ts").alias("ts"), slot(sec("end_ts")).alias("slot"), F.concat(F.lit("camera:"), "camera_id").alias("key"), text("camera_id"),
+                          text("event_id"), F.col("severity").cast("double").alias("severity"), none("boolean", "feed_ok"), none("boolean", "hit"))
+    reach = F.sequence(slot(sec("seen_ts") - last), slot(sec("seen_ts") + (fresh - delay)))
+    f = feed.select(F.col("seen_ts").alias("ts"), F.explode(reach).alias("slot"), "key", none("string", "camera_id"), none("string", "event_id"),
+                    none("double", "severity"), "feed_ok", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        us = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        mine = rows["hit"].isna().to_numpy()
+        hit = rows["hit"].fillna(False).to_numpy(bool)
+        polls = pd.Series(rows["feed_ok"].fillna(False).to_numpy(bool)[~mine & ~hit]).groupby(us[~mine & ~hit]).max()
+        times, good = polls.index.to_numpy(np.int64), polls.to_numpy(bool)
+        hits = pd.MultiIndex.from_arrays([rows["key"].to_numpy()[hit], us[hit]])
+        own = rows[mine].drop_duplicates(["camera_id", "event_id", "severity", "ts"])
+        end = own["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        first, unsure = np.full(len(own), -1), np.ones(len(own), bool)
+        for k in range(RECHECKS, -1, -1):
+            due = end + int((delay + k * every) * 1e6)
+            i = np.searchsorted(times, due, side="right") - 1
+            ok = i >= 0
+            ok[ok] = good[i[ok]] & (times[i[ok]] >= due[ok] - int(fresh * 1e6))
+            at = np.where(ok, times[np.maximum(i, 0)] if len(times) else 0, -1)
+            seen = ok & pd.MultiIndex.from_arrays([own["key"].to_numpy(), at]).isin(hits) if len(hits) else np.zeros(len(own), bool)
+            first[seen], unsure = k, ~ok
+        return pd.DataFrame({"camera_id": own["camera_id"], "event_id": own["event_id"], "severity": own["severity"], "end_ts": own["ts"], "first": first, "uncertain": unsure})
+
+    done = runs.settled(r.union(f), "slot", settle, "camera_id string, event_id string, severity double, end_ts timestamp, first int, uncertain boolean",
+                        lambda key: (int(key) + 1) * slot_sec + last)
+    kinds = dict(recordings.dtypes)
+    return done.select(F.col("camera_id").cast(kinds["camera_id"]).alias("camera_id"), F.col("event_id").cast(kinds["event_id"]).alias("event_id"), "severity",
+                       "end_ts", F.when(F.col("first") >= 0, F.col("first")).alias("first"), "uncertain")
 
 
 def retention(severity: Column, first_check: Column, uncertain: Column) -> Column:

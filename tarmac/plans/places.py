@@ -290,7 +290,7 @@ def recordings(spark, sf):
 
 
 def feed(spark, sf):
-    near = I.listed_near(S.listed_incidents(spark, sf), S.cameras(spark, sf))
+    near = I.listed_near(S.listed_incidents(spark, sf), I.watched(S.cameras(spark, sf), recordings(spark, sf)))
     return I.feed_rows(S.polls(spark, sf), near)
 
 

@@ -159,6 +159,38 @@ class InOrder(StatefulProcessor):
         self.handle.registerTimer(max(wake, now + 1))
 
 
+class Settle(StatefulProcessor):
+    """Holds a key's rows, one packed piece for each micro-batch, until the watermark has passed the key's end; then `settle` makes its rows of them."""
+
+    def __init__(self, settle, end) -> None:
+        self.settle, self.end = settle, end
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows), ignore_index=True)
+        self.held.appendValue((pickle.dumps(new, 5),))
+        self.handle.registerTimer(max(int(self.end(key[0]) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.held.exists():
+            rows = pd.concat([pickle.loads(r[0]) for r in self.held.get()], ignore_index=True)
+            self.held.clear()
+            yield self.settle(rows)
+
+    def close(self) -> None:
+        pass
+
+
+def settled(stream: DataFrame, key: str, settle: Callable[[pd.DataFrame], pd.DataFrame], out_schema: str, end: Callable[[object], float]) -> DataFrame:
+    """`settle` of all rows of each key, once the stream's watermark has passed `end(key)` (seconds since 1970)."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(Settle(settle, end), out_schema, "Append", "EventTime")
+
+
 class Fold:
     """What InOrder folds with. Times are seconds since 1970."""
 
