@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,7 +134,7 @@ _TIER = T.StructType([
 
 
 def tier_admission(requests: DataFrame, cap: int = TIER3_MAX,
-                   size: int = folds.FOLD_BLOCK) -> DataFrame:
+                   size: int = 10 * folds.FOLD_BLOCK) -> DataFrame:
     """Promotions to the top tier: refused while `cap` other cameras hold it.
 
     Input: event_id, camera_id, t, hold. The cap is shared by all cameras, so the rule is one
@@ -143,13 +145,15 @@ def tier_admission(requests: DataFrame, cap: int = TIER3_MAX,
 
     def step(state, rows):
         held, out = dict(state), []
-        for cam, t, until in zip(rows["camera_id"], rows["t"], rows["_until"]):
-            held = {c: u for c, u in held.items() if u > t}
-            key = str(cam)
-            ok = key not in held and len(held) < cap
+        ends = sorted((u, c) for c, u in held.items())  # a heap of when holds run out
+        for cam, t, until in zip(rows["camera_id"].astype(str).tolist(), rows["t"].tolist(), rows["_until"].tolist()):
+            while ends and not ends[0][0] > t:
+                del held[heapq.heappop(ends)[1]]
+            ok = len(held) < cap and cam not in held
             if ok:
-                held[key] = float(until)
+                held[cam] = until
+                heapq.heappush(ends, (until, cam))
             out.append(ok)
         return held, pd.DataFrame({"event_id": rows["event_id"], "admitted": out})
 
-    return folds.chained_fold(runs, ["_all"], step, _TIER, size=size)
+    return folds.chained_fold(runs.select("_all", "_run", "_g", "event_id", "camera_id", "t", "_until"), ["_all"], step, _TIER, size=size)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.operators import sequence as seq
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, stage
 
 FOLD_BLOCK = 100_000
 
@@ -160,7 +160,9 @@ def chained_fold(
     `runs` comes from `reset_runs`. State is a JSON-serialisable dict, empty at a run's start.
     """
     keys = [*keys, "_run"]
+    # written once, by round: a round reads its own rows alone and plans stay small
     cut_up = runs.withColumn("_round", F.floor((F.col("_g") - F.col("_run")) / size).cast("int"))
+    cut_up = stage(cut_up.repartition(*keys, "_round"), "_round")
     rounds = (cut_up.agg(F.max("_round")).first()[0] or 0) + 1
     key_fields = _fields(cut_up, keys)
     out_fields = out_schema.fields

@@ -92,15 +92,15 @@ def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df once as parquet in the shared folder and read it back.
+def stage(df: DataFrame, *by: str) -> DataFrame:
+    """Write df once as parquet in the shared folder, in a folder for each value of `by`, and read it back.
 
     For results with several consumers: they are computed once, the plan stays small, readers keep
     column pruning and size statistics, and a lost executor costs a re-read instead of a recompute.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
