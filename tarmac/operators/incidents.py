@@ -19,7 +19,7 @@ MATCH_KM, VERIFY_KM, GROUP_KM = 5.0, 10.0, 5.0
 GROUP_SEC, HOLD_SEC = 180.0, 600.0
 SEVERITY_PENDING, SEVERITY_KEEP, RECHECKS = 0.7, 0.8, 3
 RECHECK_SEC, VERIFY_DELAY = 600.0, 60.0
-FEED_FRESH, FEED_SLOT = 1800.0, 600  # how old a poll may be to count; the slots that polls are dealt by
+FEED_FRESH, FEED_SLOT = 1800.0, 600  # how old a poll may be to count; the slots by which streams are settled
 REACT_CAMERAS = 3
 PATROL_PER_INCIDENT, PATROL_PER_CYCLE = 2, 20
 
