@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tarmac.operators.linked import components as components
 from tarmac.session import prepare as prepare_session
-from tarmac.session import stage
 
 #: White space between words, everywhere in this subpackage: \x20 and \x09-\x0D, as bytes.split() has it.
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -71,34 +71,6 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node in `edges` (a, b: long): root is the smallest node it is linked to.
-
-    Alternates large-star and small-star steps, each an aggregation and a join, so nothing but the
-    count of unfinished links reaches the driver. Every round is written to the shared folder.
-    """
-    e = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    for _ in range(rounds):
-        roots = e.select(F.col("b").alias("a")).distinct()
-        shared = e.groupBy("a").count().where("count > 1").select("a")
-        if roots.join(e.select("a").distinct(), "a", "left_semi").isEmpty() and shared.isEmpty():
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("a", "a"))
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        e = e.where("a <> b")
-        e = stage(e)
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = (
-            e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct()
-        )
-        e = stage(e)
-    raise RuntimeError(f"links not resolved in {rounds} rounds")
-
-
 def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
     """`docs` under column names that clash with nothing an operator adds, the new name of a column, and the way back."""
     names = {c: f"x{i}" for i, c in enumerate(docs.columns)}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.operators import sequence as seq
-from tarmac.session import cut_lineage, stage
+from tarmac.session import stage
 
 FOLD_BLOCK = 100_000
 
@@ -195,7 +195,7 @@ def chained_fold(
             return pd.concat([out[names], tail], ignore_index=True) if len(out) else tail
 
         now = cut_up.where(F.col("_round") == r)
-        done = cut_lineage(
+        done = stage(
             state.groupBy(*keys).cogroup(now.groupBy(*keys)).applyInPandas(
                 lambda key, l, rows: one(key, l, rows) if len(rows)
                 else pd.DataFrame(columns=[f.name for f in boxed.fields]), boxed)

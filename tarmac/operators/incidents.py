@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +13,9 @@ from pyspark.sql import types as T
 from tarmac.operators import asof, folds
 from tarmac.operators import sequence as seq
 from tarmac.operators.geojoin import nearest, radius_join
+from tarmac.operators.linked import components
 from tarmac.operators.textjoin import contains_join
-from tarmac.session import cut_lineage, stage
+from tarmac.session import stage
 
 # fixed values: radii, holds and retention limits
 MATCH_KM, VERIFY_KM, GROUP_KM = 5.0, 10.0, 5.0
@@ -298,27 +301,16 @@ def assign_cameras(hotspots: DataFrame, cameras: DataFrame, first: int = 8) -> D
 def camera_areas(cameras: DataFrame, km: float = GROUP_KM) -> DataFrame:
     """Cameras linked by chains of `km` steps share an area id (smallest camera id in it).
 
-    Label propagation with pointer jumping over the camera catalogue.
+    Places, each named by its smallest camera, are joined in space; every camera is linked to its place.
     """
     c = cameras.select("cctv_id", "lat", "lon")
-    links = cut_lineage(radius_join(
-        c.select(F.col("cctv_id").alias("a"), "lat", "lon"), sites(c), km)
-        .select("a", F.col("cctv_id").alias("b")))
-    label = c.select("cctv_id", F.col("cctv_id").alias("area"))
-    while True:
-        best = links.join(label, links.b == label.cctv_id).groupBy("a").agg(
-            F.min("area").alias("low"))
-        hop = label.select(F.col("cctv_id").alias("low"), F.col("area").alias("lower"))
-        nxt = (
-            label.join(best, label.cctv_id == best.a, "left").join(hop, "low", "left")
-            .select("cctv_id", F.least("area", F.coalesce("low", "area"),
-                                       F.coalesce("lower", "area")).alias("area"))
-        )
-        nxt = cut_lineage(nxt)
-        moved = nxt.join(label.withColumnRenamed("area", "old"), "cctv_id").where("area <> old")
-        if moved.isEmpty():
-            return nxt
-        label = nxt
+    known = c.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    places = stage(known.groupBy("lat", "lon").agg(F.min("cctv_id").alias("a")))
+    near = radius_join(places, places.select(F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), F.col("a").alias("b")), km)
+    own = known.join(places, ["lat", "lon"]).select("a", F.col("cctv_id").alias("b"))
+    roots = components(near.where("a < b").select("a", "b").union(own))
+    return c.select("cctv_id").distinct().join(roots, F.col("cctv_id") == F.col("node"), "left").select(
+        "cctv_id", F.coalesce("root", "cctv_id").alias("area"))
 
 
 _GROUPED = T.StructType([
@@ -334,35 +326,61 @@ def group_step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
     """
     lead = [tuple(x) for x in state.get("lead", [])]  # (event_id, t, lat, lon)
     taken, official = {tuple(x) for x in state.get("taken", [])}, dict(state.get("official", {}))
-    n, start = len(rows), len(lead)
-    table = np.array(lead + [(0, np.inf, 0, 0)] * n, float).reshape(start + n, 4)
-    used, group = start, np.zeros(n, np.int64)
-    names = np.array([x[0] for x in lead] + [0] * n, np.int64)
-    at = rows[["t", "lat", "lon"]].to_numpy(float)
-    cams, events = rows["camera_id"].to_numpy(np.int64), rows["event_id"].to_numpy(np.int64)
+    spots, standing, reach = [], {}, {}  # places of leaders, the leaders at each (as numbers in `lead`), places in reach of a row's place
+
+    def stand(k):
+        at = lead[k][2:]
+        if any(x != x for x in at):
+            return  # no place: in nobody's reach
+        if at not in standing:
+            standing[at] = deque()
+            spots.append(at)
+        standing[at].append(k)
+
+    def near(at):
+        if any(x != x for x in at):
+            return []
+        seen, found = reach.get(at, (0, []))
+        if seen < len(spots):
+            p, q = np.radians(np.array(spots[seen:])), np.radians(at)
+            half = np.sin((q[0] - p[:, 0]) / 2) ** 2 + np.cos(p[:, 0]) * np.cos(q[0]) * np.sin((q[1] - p[:, 1]) / 2) ** 2
+            close = np.flatnonzero(2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(half))) <= GROUP_KM)
+            found = found + [standing[spots[seen + k]] for k in close]
+            reach[at] = len(spots), found
+        return found
+
+    for k in range(len(lead)):
+        stand(k)
+    times, places = rows["t"].astype(float).tolist(), list(zip(rows["lat"].astype(float).tolist(), rows["lon"].astype(float).tolist()))
+    cams, events = rows["camera_id"].astype("int64").tolist(), rows["event_id"].astype("int64").tolist()
     ids = [None if pd.isna(x) else str(int(x)) for x in rows["incident_id"]]
-    for i in range(n):
-        t, lat, lon = at[i]
-        fresh = np.flatnonzero(t - table[:used, 1] <= GROUP_SEC)
-        mine = official.get(ids[i]) if ids[i] else None
+    group = []
+    for t, at, cam, event, official_id in zip(times, places, cams, events, ids):
+        mine = official.get(official_id) if official_id else None
         if mine is None:
-            p, q = np.radians(table[fresh, 2]), np.radians(lat)
-            half = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon - table[fresh, 3]) / 2) ** 2
-            close = fresh[2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(half))) <= GROUP_KM]
-            mine = next((int(names[k]) for k in close if (int(names[k]), int(cams[i])) not in taken), None)
-            if mine is None:
-                mine = int(events[i])
-                table[used], names[used] = (mine, t, lat, lon), mine
-                used += 1
-                if ids[i]:
-                    official[ids[i]] = mine
-        taken.add((mine, int(cams[i])))
-        group[i] = mine
-    last = at[-1, 0] if n else -np.inf
-    alive = [(int(names[k]), *table[k, 1:].tolist()) for k in range(used) if last - table[k, 1] <= GROUP_SEC]
+            best = len(lead)
+            for queue in near(at):
+                while queue and t - lead[queue[0]][1] > GROUP_SEC:
+                    queue.popleft()
+                for k in queue:
+                    if k >= best:
+                        break
+                    if t - lead[k][1] <= GROUP_SEC and (lead[k][0], cam) not in taken:
+                        best = k
+                        break
+            if best == len(lead):
+                lead.append((event, t, *at))
+                stand(best)
+                if official_id:
+                    official[official_id] = event
+            mine = lead[best][0]
+        taken.add((mine, cam))
+        group.append(mine)
+    last = times[-1] if times else -np.inf
+    alive = [x for x in lead if last - x[1] <= GROUP_SEC]
     keep = {x[0] for x in alive}
     return ({"lead": alive, "taken": sorted(x for x in taken if x[0] in keep), "official": official},
-            pd.DataFrame({"event_id": events, "group_id": group}))
+            pd.DataFrame({"event_id": events, "group_id": group}, dtype="int64"))
 
 
 def tied_areas(cameras: DataFrame, ties: DataFrame) -> DataFrame:
@@ -397,7 +415,7 @@ def group_triggers(triggers: DataFrame, cameras: DataFrame,
     official ids only. Input: event_id, camera_id, t, incident_id (nullable).
     """
     ids = triggers.where("incident_id is not null")
-    t = placed(triggers, cameras, cut_lineage(tied_areas(cameras, ids.select("camera_id", "incident_id").distinct())))
+    t = placed(triggers, cameras, stage(tied_areas(cameras, ids.select("camera_id", "incident_id").distinct())))
     t = t.join(ids.groupBy("incident_id").agg(F.max("t").alias("_last")), "incident_id", "left")
     ends = F.greatest(F.col("t"), F.coalesce("_last", "t")) + GROUP_SEC
     runs = folds.reset_runs(t, ["area"], ["t", "event_id"], F.floor(F.col("t") / 86_400), ends,
@@ -408,15 +426,11 @@ def group_triggers(triggers: DataFrame, cameras: DataFrame,
 
 
 def _merge_labels(edges: DataFrame) -> DataFrame:
-    """Smallest area reachable from each area through shared ties."""
-    edges = cut_lineage(edges.distinct())
-    label = edges.select("area", F.col("area").alias("root")).distinct()
-    while True:
-        per_tie = edges.join(label, "area").groupBy("tie").agg(F.min("root").alias("low"))
-        nxt = cut_lineage(edges.join(per_tie, "tie").groupBy("area").agg(F.min("low").alias("root")))
-        if nxt.join(label.withColumnRenamed("root", "old"), "area").where("root <> old").isEmpty():
-            return nxt
-        label = nxt
+    """Smallest area reachable from each area through shared ties: every area of a tie is linked to the tie's smallest. Areas tied to no other are left out."""
+    edges = stage(edges.distinct())
+    low = edges.groupBy("tie").agg(F.min("area").alias("b"))
+    roots = components(edges.join(low, "tie").select(F.col("area").alias("a"), "b"))
+    return roots.select(F.col("node").alias("area"), "root")
 
 
 def match_markers(cameras: DataFrame, markers: DataFrame, top: int = 5) -> DataFrame:

@@ -73,15 +73,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and stops plans growing inside loops."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def is_small(df: DataFrame, limit: int) -> bool:
     """Whether df has at most `limit` rows, reading no more than limit+1 of them."""
     return df.limit(limit + 1).count() <= limit
