@@ -456,24 +456,21 @@ def match_markers(cameras: DataFrame, markers: DataFrame, top: int = 5) -> DataF
     by_name = names.select("marker_id", "cn").join(spot, "marker_id")
     by_route = routes.select("marker_id", "cr").join(spot, "marker_id")
     both = by_name.join(routes.select("marker_id", "cr"), "marker_id")
-    keys = ["camera_id", "marker_id", "site_lat", "site_lon", "lat", "lon"]
+    keys = ["camera_id", "cn", "cr", "marker_id", "site_lat", "site_lon", "lat", "lon"]
 
     def closest(s, by):
         return c.join(nearest(c, s, top, "marker_id", by, planar=True), ["lat", "lon", *by]).select(*keys)
 
     cand = closest(spot, ()).unionByName(closest(by_name, ("cn",))).unionByName(
         closest(by_route, ("cr",))).unionByName(closest(both, ("cn", "cr"))).distinct()
-    nm = c.select("camera_id", "cn").join(names.select("marker_id", "cn"), "cn").select(
-        "camera_id", "marker_id", F.lit(0).alias("name_penalty"))
-    rm = c.select("camera_id", "cr").join(routes.select("marker_id", "cr"), "cr").select(
-        "camera_id", "marker_id", F.lit(0).alias("route_penalty"))
-    on = ["camera_id", "marker_id"]
-    out = cand.join(nm, on, "left").join(rm, on, "left").fillna(
+    # looked up for the candidates alone: a route has many cameras and many markers
+    nm, rm = names.withColumn("name_penalty", F.lit(0)), routes.withColumn("route_penalty", F.lit(0))
+    out = cand.join(nm, ["marker_id", "cn"], "left").join(rm, ["marker_id", "cr"], "left").fillna(
         1, ["name_penalty", "route_penalty"])
     d2 = F.pow(F.col("site_lon") - F.col("lon"), F.lit(2)) + F.pow(
         F.col("site_lat") - F.col("lat"), F.lit(2))
     w = Window.partitionBy("camera_id").orderBy("name_penalty", "route_penalty", "dist2", "marker_id")
-    return out.withColumn("dist2", d2).withColumn("rank", F.row_number().over(w)).where(
+    return out.drop("cn", "cr").withColumn("dist2", d2).withColumn("rank", F.row_number().over(w)).where(
         F.col("rank") <= top)
 
 
