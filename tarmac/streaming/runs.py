@@ -45,9 +45,10 @@ def heartbeat(stream: DataFrame, after: str, like: DataFrame) -> DataFrame:
     return stream.union(spark.readStream.schema(stream.schema).parquet(path))
 
 
-def shuffled_stream(df: DataFrame, order: str, parts: int = 3, late: float = 0.0, beat: str | None = None, files: int = 4) -> DataFrame:
+def shuffled_stream(df: DataFrame, order: str, parts: int = 3, late: float = 0.0, beat: str | None = None, files: int = 4, rows: int = 2_000_000) -> DataFrame:
     """A table as a file stream of about `parts` micro-batches by the time column `order`, `files` files each.
 
+    A longer table has more of them, of about `rows` rows each: what a task holds of a key grows with its micro-batch.
     Rows are held back by up to `late` seconds (by a hash of the row), so that they arrive out of order and across
     batches as a feed's do. With `beat` a last batch has one row, empty but for a time so long after the others.
     """
@@ -55,7 +56,8 @@ def shuffled_stream(df: DataFrame, order: str, parts: int = 3, late: float = 0.0
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     seconds = F.unix_micros(order) / 1e6
     arrival = seconds + F.pmod(F.xxhash64(*df.columns), F.lit(1000)) / 1000 * late
-    lo, hi = df.agg(F.min(seconds), F.max(seconds)).first()
+    lo, hi, count = df.agg(F.min(seconds), F.max(seconds), F.count("*")).first()
+    parts = max(parts, -(-count // rows))
     width = ((hi or 0) + late - (lo or 0)) / parts + 1e-6
     n = df.withColumn("_batch", F.floor((arrival - (lo or 0)) / width).cast("int"))
     if beat:
