@@ -235,8 +235,8 @@ def fold(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
     return state, pd.DataFrame(out, columns=_COLS)
 
 
-def detect(rows: DataFrame, size: int = 86_400) -> DataFrame:
-    """Triggers of all cameras from their `signals`, parallel by camera and kind."""
+def detect(rows: DataFrame, size: int = 21_600) -> DataFrame:
+    """Triggers of all cameras from their `signals`, parallel by camera and kind. A task holds `size` frames of one of them."""
     keys = ["camera_id", "type"]
     plain = episodes.cooldown(_plain(rows.where(F.col("type").isin(*PLAIN))), keys, COOLDOWN, tie="frame_idx")
     snaps = episodes.periodic(_plain(rows.where("type = 'T7'")), keys, PERIOD)
