@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators import sequence as seq
@@ -33,8 +36,28 @@ def hypot(dx, dy):
     return F.sqrt(dx * dx + dy * dy)
 
 
+def c_float(f, jvm, *cols: Column) -> Column:
+    """f, a function of `math`, of one or two columns; where that is no number, what Spark's own `jvm` gives.
+
+    `math` has the C library's functions, as SQL engines have. The JVM's differ from them in the last bit, which decides
+    the sign of what would cancel exactly.
+    """
+    def each(*parts: pd.Series) -> pd.Series:
+        return pd.Series([f(*v) if all(map(math.isfinite, v)) else None for v in zip(*(p.tolist() for p in parts))], dtype="float64")
+
+    if len(cols) == 1:
+        @F.pandas_udf("double")
+        def run(a: pd.Series) -> pd.Series:
+            return each(a)
+    else:
+        @F.pandas_udf("double")
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return each(a, b)
+    return F.coalesce(run(*cols), jvm(*cols))
+
+
 def wrap_heading(dx, dy):
-    deg = F.degrees(F.atan2(dx, -dy))
+    deg = F.degrees(c_float(math.atan2, F.atan2, dx, -dy))
     return F.when(deg < 0, deg + 360).otherwise(deg)
 
 
@@ -192,7 +215,9 @@ def surroundings(m: DataFrame, radius: float = NEIGHBOUR_RADIUS_PX,
     The frame is split into `reach`-sized cells and each vehicle is offered to its 3x3 cells, so a
     crowded frame is spread over cells and far pairs never meet.
     """
-    s = m.select(*FRAME, "track_id", "cx", "cy", "heading")
+    rad = F.radians("heading")
+    s = m.select(*FRAME, "track_id", "cx", "cy", c_float(math.sin, F.sin, rad).alias("fx"),
+                 (-c_float(math.cos, F.cos, rad)).alias("fy"))
     cell = lambda c: F.floor(F.col(c) / reach)
     left = s.withColumn("gx", cell("cx")).withColumn("gy", cell("cy"))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -204,8 +229,7 @@ def surroundings(m: DataFrame, radius: float = NEIGHBOUR_RADIUS_PX,
                 (F.col("gy0") + F.col("dy_")).alias("gy"))
     )
     dx, dy = F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy")
-    rad = F.radians("heading")
-    proj = dx * F.sin(rad) + dy * -F.cos(rad)
+    proj = dx * F.col("fx") + dy * F.col("fy")
     pairs = (
         left.join(right, [*FRAME, "gx", "gy"])
         .where((F.col("track_id") != F.col("o_id")) & (hypot(dx, dy) <= reach))

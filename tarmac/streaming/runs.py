@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import pickle
 import uuid
 from collections.abc import Callable, Sequence
@@ -365,7 +366,7 @@ class FeatureFold(Fold):
         dx, dy = x - px, y - py
         speed = np.where(first, 0.0, np.hypot(dx, dy) * motion.METRES_PER_PIXEL / self.dt * 3.6 if self.dt > 0 else 0.0)
         small = (np.abs(dx) < 0.5) & (np.abs(dy) < 0.5)
-        deg = np.degrees(np.arctan2(dx, -dy))
+        deg = np.degrees(np.array([math.atan2(a, -b) for a, b in zip(dx, dy)]))  # as motion.c_float; numpy's may differ
         heading = np.where(first, 0.0, np.where(small, head, np.where(deg < 0, deg + 360, deg)))
         halted = speed <= motion.STOP_KMH
         stop = np.where(halted, np.where(first | (pv > motion.STOP_KMH), t, stop), np.nan)
