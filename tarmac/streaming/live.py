@@ -6,6 +6,8 @@ table form gives (`episodes.failure_runs`, `incidents.merge_holds`, `flow.line_c
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,30 +69,49 @@ def health_stream(health: DataFrame, limit: int = episodes.MAX_FAILURES, reprobe
     return runs.keyed_fold(health, ["camera_id"], ["t", "event_id"], step, HEALTH, idle_sec=2 * quiet_sec, finish=finish, due=due)
 
 
-def promotion_stream(holds: DataFrame, delay: str = runs.FEED_DELAY) -> DataFrame:
-    """Promotions of each camera: overlapping or touching holds are one, put out when the last has run out and the camera is demoted.
+class Promotions(runs.Fold):
+    """Open promotions of the cameras of one group: {camera: [start, end, holds]}. All that have run out are put out at once."""
 
-    Input: cctv_id, event_id, start_t, end_t (whole seconds since 1970), ts (the start).
-    """
+    def open(self, handle):
+        self.state = handle.getValueState("state", "json string")
 
-    def step(state, rows):
-        open_, out = state.get("open"), []
-        for cam, s, e in zip(rows["cctv_id"], rows["start_t"], rows["end_t"]):
-            cam, s, e = int(cam), int(s), int(e)
-            if open_ and s <= open_[2]:
-                open_ = [cam, open_[1], max(open_[2], e), open_[3] + 1]
+    def _get(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def step(self, rows):
+        held, out = self._get(), []
+        for cam, s, e in zip(rows["cctv_id"].tolist(), rows["start_t"].tolist(), rows["end_t"].tolist(), strict=True):
+            s, e, own = int(s), int(e), held.get(key := str(int(cam)))
+            if own and s <= own[1]:
+                own[1], own[2] = max(own[1], e), own[2] + 1
             else:
-                out += [tuple(open_)] if open_ else []
-                open_ = [cam, s, e, 1]
-        return {"open": open_}, _table(out, HOLDS)
+                out += [(int(cam), *own)] if own else []
+                held[key] = [s, e, 1]
+        self.state.update((json.dumps(held),))
+        return _table(out, HOLDS)
 
-    def finish(state):
-        return {"open": None}, _table([tuple(state["open"])] if state.get("open") else [], HOLDS)
+    def due(self):  # a hold that starts in the very second of the end still belongs to it
+        return min((own[1] + 1.0 for own in self._get().values()), default=None)
 
-    def due(state):  # a hold that starts in the very second of the end still belongs to it
-        return state["open"][2] + 1.0 if state.get("open") else None
+    def settle(self, now):
+        held = self._get()
+        over = {cam: own for cam, own in held.items() if (own[1] + 1) * 1000 <= now}
+        if over:
+            self.state.update((json.dumps({cam: own for cam, own in held.items() if cam not in over}),))
+            yield _table([(int(cam), *own) for cam, own in over.items()], HOLDS)
 
-    return runs.keyed_fold(holds, ["cctv_id"], ["start_t", "event_id"], step, HOLDS, delay=delay, idle_sec=86_400, finish=finish, due=due)
+    def forget(self):
+        self.state.clear()
+
+
+def promotion_stream(holds: DataFrame, delay: str = runs.FEED_DELAY, groups: int = 256) -> DataFrame:
+    """Promotions of each camera: overlapping or touching holds are one, put out when the last has run out and the camera is demoted.
+
+    Input: cctv_id, event_id, start_t, end_t (whole seconds since 1970), ts (the start). Cameras are folded in `groups` groups (by a hash),
+    as waking and storing a camera by itself costs far more than its holds of a micro-batch do.
+    """
+    group = F.when(F.col("cctv_id").isNotNull(), F.pmod(F.xxhash64("cctv_id"), F.lit(groups)))
+    return runs.in_order(holds.withColumn("_group", group), ["_group"], ["start_t", "event_id"], Promotions(), HOLDS, delay=delay, idle_sec=86_400)
 
 
 def line_counts(obs: DataFrame, y_line: float, band: tuple[float, float] | None = None, frames: int = 60, up: str = "방향A", down: str = "방향B",

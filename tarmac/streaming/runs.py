@@ -66,7 +66,7 @@ def shuffled_stream(df: DataFrame, order: str, parts: int = 3, late: float = 0.0
         rest = [F.lit("" if f.dataType == T.StringType() else None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != order]
         last = df.agg((F.max(order) + F.expr(f"INTERVAL {beat}")).alias(order)).select(order, *rest).select(*df.columns)
         n = n.union(last.withColumn("_batch", F.lit(parts)))
-    n = stage(n)
+    n = stage(n, "_batch")  # a folder each, so that a micro-batch is read without the others
     for k in range(parts + bool(beat)):
         n.where(F.col("_batch") == k).drop("_batch").repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -94,6 +94,13 @@ def first_seen(stream: DataFrame, key: Sequence[str], ttl: str = "24 hours") ->
     return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(list(key))
 
 
+def _millis(ts: pd.Series) -> pd.Series:
+    """Milliseconds since 1970; null: NaN."""
+    at = pd.to_datetime(ts, utc=True)
+    us = at.dt.tz_localize(None).to_numpy("datetime64[us]").astype("int64") / 1000
+    return pd.Series(us, index=ts.index).where(at.notna())
+
+
 class InOrder(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then folds them in the order of their time.
 
@@ -134,7 +141,7 @@ class InOrder(StatefulProcessor):
         rows = pd.concat([*old, *([] if new is None else [new])], ignore_index=True) if old or new is not None else None
         next_ms = None
         if rows is not None:
-            at = rows["ts"].map(lambda x: x.timestamp() * 1000)
+            at = _millis(rows["ts"])
             ready = at <= now
             if ready.any():
                 yield self.fold.step(rows[ready].sort_values(self.order, kind="stable"))
@@ -147,10 +154,8 @@ class InOrder(StatefulProcessor):
                 next_ms = int(np.ceil(at[~ready].min()))
             else:
                 self.held.clear()
+        yield from self.fold.settle(now)
         due = self.fold.due()
-        while due is not None and due * 1000 <= now:
-            yield self.fold.finish(due)
-            due = self.fold.due()
         last = self.seen.get()[0] if self.seen.exists() else now
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
@@ -208,6 +213,13 @@ class Fold:
     def finish(self, at: float) -> pd.DataFrame:
         raise NotImplementedError
 
+    def settle(self, now: float):
+        """The rows of all that has ended by itself by `now` (milliseconds since 1970)."""
+        due = self.due()
+        while due is not None and due * 1000 <= now:
+            yield self.finish(due)
+            due = self.due()
+
     def forget(self) -> None: ...
 
 
