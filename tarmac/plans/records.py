@@ -272,7 +272,7 @@ def dead_letter_replay(spark, sf):
 WITH {S.SQL_TRAJ} SELECT clip_id, count(*) AS n, round(sum(round((x * 1280) / 1280.0, 6)), 4) AS sx,
   count(*) FILTER (flag = 'R') AS major, CAST(sum(CASE WHEN flag = 'R' THEN 3 ELSE -1 END) AS BIGINT) AS minor FROM traj GROUP BY 1""")
 def export_roundtrip(spark, sf):
-    """Trajectories exported as seven-column text by split and clip, then read back."""
+    """Trajectories exported as text by split and range of clips, then read back."""
     t = S.traj(spark, sf)
     b = t.select("clip_id", "frame", "track_id", (F.col("x") * 1280).alias("x"), (F.col("y") * 720).alias("y"),
                  F.lit(0.0).alias("w"), F.lit(0.0).alias("h"),
@@ -282,9 +282,7 @@ def export_roundtrip(spark, sf):
     rows = rows.withColumn("split", F.when((F.col("clip_id") % 3 != 0) & (share < 80), "train").otherwise("test"))
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     tables.write_trajectories(rows, path)
-    back = spark.read.option("sep", "\t").schema(
-        "frame long, track_id long, agent_id long, x double, y double, major int, minor int, split string, "
-        "clip_id long").csv(path)
+    back = tables.read_trajectories(spark, path)
     return back.groupBy("clip_id").agg(
         F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.count_if(F.col("major") == 1).alias("major"),
         F.sum("minor").alias("minor"))
